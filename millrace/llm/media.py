@@ -8,7 +8,6 @@ side, one coefficient of every block at a step.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -16,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import map_texts
@@ -398,33 +398,53 @@ def payload_of(frame: Frame, blocks: np.ndarray) -> bytes:
     return blocks.reshape(-1)[: frame.payload].astype(np.uint8).tobytes()
 
 
-SCHEMA = T.StructType([T.StructField(n, T.StringType() if "sha256" in n or n == "feature" else T.LongType()) for n in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")])
+SCHEMA = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("media", T.BinaryType())]
+    + [T.StructField("width", T.LongType()), T.StructField("height", T.LongType()), T.StructField("thumbnail_hash", T.StringType()), T.StructField("thumbnail_crc32", T.LongType())]
+)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Store every whole text of docs (doc_id, text) as a JPEG, read it back, and describe both.
+    """Store every whole text of docs (doc_id, text) as a JPEG file and read it back.
 
-    The payload is the text's UTF-8 with zero bytes added up to a positive multiple of 64; null and
-    empty texts are 64 zero bytes. feature: width x height : thumbnail hash : thumbnail CRC. Every row,
+    Columns: doc_id, n_bytes, payload (as read back), media (the file), its width and height in pixels,
+    and the hash and CRC of its DC-only luminance thumbnail. The payload is the text's UTF-8 with zero
+    bytes added up to a positive multiple of 64; null and empty texts are 64 zero bytes. Every row,
     repeated or with a null id, gets a row; other columns are ignored. No shuffle; memory is bounded by
     a chunk of blocks and the longest text.
     """
 
     def rows(part: Iterator[tuple]) -> Iterator[tuple]:
-        ids, raw = zip(*part, strict=True)
-        sizes = [len(t or b"") for t in raw]
-        group: list[int] = []
-        for i in range(len(ids)):
-            group.append(i)
-            if sum(sizes[j] for j in group) >= CHUNK * UNIT or i == len(ids) - 1:
-                yield from described([ids[j] for j in group], [raw[j] or b"" for j in group])
-                group = []
-
-    def described(ids: list[int], texts: list[bytes]) -> Iterator[tuple]:
-        files = store([t + bytes(-len(t) % UNIT if t else UNIT) for t in texts])
-        for doc_id, text, media, (frame, blocks) in zip(ids, texts, files, decode(files), strict=True):
-            payload, small = payload_of(frame, blocks), thumbnail(frame, blocks)
-            feature = f"{frame.width}x{frame.height}:{thumbnail_hash(small):016x}:{zlib.crc32(small.tobytes()):08x}"
-            yield doc_id, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, frame.width, frame.height
+        group: list[tuple[int | None, bytes]] = []
+        held = 0
+        for doc_id, text in part:
+            group.append((doc_id, text or b""))
+            held += len(group[-1][1])
+            if held >= CHUNK * UNIT:
+                yield from described(group)
+                group, held = [], 0
+        yield from described(group)
+
+    def described(group: list[tuple[int | None, bytes]]) -> Iterator[tuple]:
+        files = store([t + bytes(-len(t) % UNIT if t else UNIT) for _, t in group])
+        for (doc_id, text), media, (frame, blocks) in zip(group, files, decode(files), strict=True):
+            small = thumbnail(frame, blocks)
+            yield doc_id, len(text), payload_of(frame, blocks), media, frame.width, frame.height, f"{thumbnail_hash(small):016x}", zlib.crc32(small.tobytes())
 
     return map_texts(docs, ["doc_id"], rows, SCHEMA)
+
+
+def digests(media: DataFrame) -> DataFrame:
+    """The stored files by sizes and hashes; feature is width x height : thumbnail hash : thumbnail CRC."""
+    return media.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr(f"substring(payload, -{UNIT}, {UNIT})")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.format_string("%dx%d:%s:%08x", "width", "height", "thumbnail_hash", "thumbnail_crc32").alias("feature"),
+        "width",
+        "height",
+    )

@@ -5,13 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import media, secrets, simhash
+from millrace.llm import decontam, licenses, media, packing, quality, secrets, sharding, simhash, substring, suffix
 from millrace.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op2_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op3_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -20,9 +42,36 @@ def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op8_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("t1", "t2")
+
+
+def op9_columnwise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(documents(spark, sf_dir))
+    return media.digests(media.media_columns(documents(spark, sf_dir)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_secret_scan, op6_simhash_golay, op10_jpeg_media)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_weak_label_quality,
+        op2_label_propagation_shards,
+        op3_recompression_dedup,
+        op4_license_classifier,
+        op5_secret_scan,
+        op6_simhash_golay,
+        op7_hierarchical_packing,
+        op8_minhash_containment,
+        op9_columnwise_suffix_dedup,
+        op10_jpeg_media,
+    )
+}
 ORACLES: dict[str, str] = {}

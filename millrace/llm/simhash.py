@@ -45,15 +45,18 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bit pattern as a long."""
+    """(doc_id, fp, t): the bit patterns of the fingerprint and of the text's XXH64 as longs."""
 
     def rows(part: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in part:
-            f = fingerprint(text)
-            yield doc_id, f - (1 << 64) if f >> 63 else f
+            yield doc_id, signed(fingerprint(text)), 42 if text is None else signed(xxhash.xxh64_intdigest(text, 42))
 
-    return map_texts(docs, ["doc_id"], rows, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())]))
+    return map_texts(docs, ["doc_id"], rows, T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "fp", "t")]))
 
 
 class Golay:
@@ -123,6 +126,19 @@ def links(scratch: Scratch, distinct: DataFrame) -> DataFrame:
     return pairs.union(stars)
 
 
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, t, root, component_id): root is the component's smallest fingerprint, as a signed number."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.save(fingerprints(docs), "prints")
+    nodes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    roots = scratch.save(components(scratch, links(scratch, nodes)), "roots")
+    joined = nodes.join(roots, nodes.fp == roots.node)
+    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    linked = joined.join(least, "root").select("fp", F.col("root").alias("r"), F.col("component_id").alias("c"))
+    ids = nodes.join(linked, "fp", "left").select("fp", F.coalesce("r", "fp").alias("root"), F.when(F.col("r").isNull(), F.col("first_id")).otherwise(F.col("c")).alias("component_id"))
+    return prints.join(ids, "fp").select("doc_id", "fp", "t", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs (doc_id, text).
 
@@ -132,13 +148,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest; a component of null ids alone has a null id. Other columns are ignored. Fingerprints are made distinct before any
     search, so copies cost one row.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    prints = scratch.save(fingerprints(docs), "prints")
-    nodes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = scratch.save(components(scratch, links(scratch, nodes)), "roots")
-    joined = nodes.join(roots, nodes.fp == roots.node)
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = joined.join(least, "root").select("fp", F.col("component_id").alias("c"))
-    ids = nodes.join(classes, "fp", "left").select("fp", F.coalesce("c", "first_id").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component of near duplicates, with all its columns: that of the smallest doc_id.
+
+    Of several rows with that id the one whose text's hash is smallest stays, and of equal ones any; null
+    ids come last. Rows to drop are found by id and text hash, so texts move only if the list of dropped
+    rows is too large for Spark to broadcast.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-first")
+    rows = scratch.save(classes(docs).withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t")), "classes")
+    leads = rows.groupBy("root").agg(F.min("key").alias("lead"))
+    judged = rows.join(leads, "root")
+    gone = judged.where("key <> lead").select("key").distinct()
+    again = scratch.save(judged.where("key = lead").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("t"))
+    keyed = docs.withColumn("key", key) if "key" not in docs.columns else docs.withColumnRenamed("key", "key ").withColumn("key", key)
+    kept = keyed.join(gone, "key", "left_anti")
+    if again.head(1):
+        kept = kept.join(again, "key", "left_anti").unionByName(kept.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    kept = kept.drop("key")
+    return kept.withColumnRenamed("key ", "key") if "key " in kept.columns else kept
