@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import history, scores
+from millrace.plans import corpus, history, scores
 
-QUERIES = scores.QUERIES | history.QUERIES
-ORACLES = scores.ORACLES | history.ORACLES
+QUERIES = scores.QUERIES | history.QUERIES | corpus.QUERIES
+ORACLES = scores.ORACLES | history.ORACLES | corpus.ORACLES
