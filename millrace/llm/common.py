@@ -49,6 +49,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold at most `rows` rows from now on: whole texts of the default 10,000 rows fill an executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def bucket(cols: Sequence[str | Column], n: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
@@ -97,6 +104,7 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 
 def map_texts(df: DataFrame, keys: Sequence[str], rows: Callable[[Iterator[tuple]], Iterable[tuple]], schema: T.StructType, text: str = "text", step: int = 512) -> DataFrame:
     """Apply `rows` to (keys..., UTF-8 bytes or None) of each row, a few hundred rows at a time, in Arrow."""
+    short_batches(df.sparkSession)
     keys = list(keys)
     names = [f.name for f in schema.fields]
 

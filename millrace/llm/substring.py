@@ -26,7 +26,7 @@ from millrace.llm.repeats import Rolling, mix
 WINDOW = 50
 ROUNDS = 3
 PART = 1 << 19  # words looked at together
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Vocabulary(dict):
