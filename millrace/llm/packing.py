@@ -22,7 +22,7 @@ WINDOW = 2048
 TIERS = (256, 512, 1024)
 STEP_TOKENS = 8 * WINDOW
 END = struct.pack("<I", 1)
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: A space next to other white space: where splitting at spaces could part what the tokenizer takes together.
 ADJACENT = re.compile(r" \s|\s ")
 
