@@ -1,15 +1,24 @@
-"""Cutting long plans."""
+"""The shared folder, and cutting long plans."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in the shared folder (spark.checkpoint.dir; a temporary one only where none is set)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor shares: spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="spark-millrace-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-millrace-"))
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint of df in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
