@@ -1,0 +1,201 @@
+import base64
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import numpy as np
+
+from millrace.llm import decontam, licenses, media, quality, secrets
+
+
+def der(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def rsa_key(rng):
+    numbers = [b"\0"] + [b"\1" + bytes(rng.randrange(256) for _ in range(40)) for _ in range(6)]
+    return der(0x30, b"".join(der(2, n) for n in numbers))
+
+
+def test_base_spans_against_plain_patterns():
+    rng = random.Random(1)
+    bits = ["password=", "Secret: '", "api-key", "apikey = \"", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef", " ", "x", "ſecret=", "TOKEN:", "longvalue_not", "\n", "é"]
+    for _ in range(300):
+        text = "".join(rng.choices(bits, k=12))
+        want = []
+        for kind, pattern, least, group in (("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2), ("access", "AKIA[A-Z0-9]+", 18, 0), ("hex", "[0-9a-f]+", 16, 0)):
+            want += [(m.start(), m.end(), kind) for m in re.compile(pattern, re.A).finditer(text) if m.end(group) - m.start(group) >= least]
+        got = [s for s in secrets.find_spans(text) if s[2] in secrets.BASE]
+        assert got == sorted(want, key=lambda s: (s[0], secrets.BASE.index(s[2])))
+
+
+def test_structure_confirms_or_rejects():
+    rng = random.Random(2)
+    key = rsa_key(rng)
+    good = base64.b64encode(key).decode()
+    bad = base64.b64encode(bytes([key[0], key[1], key[2], key[3] ^ 1]) + key[4:]).decode()
+    kinds = lambda t: {s[2] for s in secrets.find_spans(t)}
+    assert "der" in kinds(f"key {good} end") and "der" not in kinds(f"key {bad} end")
+    assert "hexder" in kinds(f"x {key.hex()} y")
+    assert "pem" in kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{good}\n-----END RSA PRIVATE KEY-----")
+    wire = b"".join(len(f).to_bytes(4, "big") + f for f in (b"ssh-ed25519", bytes(32)))
+    assert "ssh" in kinds(base64.b64encode(wire).decode()) and "ssh" not in kinds(base64.b64encode(wire[:-1] + b"").decode() + "AAAA")
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
+    assert "jwt" in kinds(f"{head}.eyJhIjoxfQ.c2ln") and "jwt" not in kinds("eyJub3BlIjoxfQ.eyJhIjoxfQ.c2ln")
+    assert secrets.redact_text("a password=0123456789abcdef b") == "a [SECRET] b"
+
+
+def test_scan_rows(spark):
+    rows = [(1, "token = abcdefghijkl"), (1, None), (None, ""), (2, "clean")]
+    df = spark.createDataFrame([(a, b, "s") for a, b in rows], "doc_id long, text string, spans string")
+    out = sorted((tuple(r) for r in secrets.scan(df).collect()), key=str)
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert len(out) == 4 and sum(r[4] == nothing for r in out) == 3
+    assert (1, 1, 0, 0, hashlib.sha256(b"assign:0:20").hexdigest(), "assign:0:20") in out
+    assert secrets.scan(df.limit(0)).count() == 0
+    assert {r["text"] for r in secrets.redact(df).collect()} == {"[SECRET]", None, "", "clean"}
+
+
+def test_media_round_trip(spark):
+    rng = np.random.default_rng(3)
+    texts = ["", None, "short", "é" * 5000, "a" * 300_000, "\0" * 200, "".join(chr(c) for c in rng.integers(32, 1000, 3000))]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(None, "short", 0)], "doc_id long, text string, media int")
+    rows = media.digests(media.media_columns(df)).collect()
+    assert len(rows) == 8
+    for r in rows:
+        raw = (texts[r["doc_id"]] if r["doc_id"] is not None else "short") or ""
+        raw = raw.encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["width"] * r["height"] >= len(payload)
+    same = [r for r in rows if r["n_bytes"] == 5]
+    assert same[0]["media_sha256"] == same[1]["media_sha256"] and same[0]["feature"] == same[1]["feature"]
+    assert media.media_columns(df.limit(0)).count() == 0
+
+
+def encode_plain(units, interval):
+    """A sequential bit-by-bit encoder with DC prediction, to test the decoder on longer restart intervals."""
+    out, bits, pred = b"", "", 0
+    for i, u in enumerate(units):
+        u = [int(x) for x in u]
+        diff = u[0] - pred
+        pred = u[0]
+        n = abs(diff).bit_length()
+        code, size = media.DC_CODES[n]
+        bits += f"{code:0{size}b}" + (f"{diff if diff > 0 else diff + (1 << n) - 1:0{n}b}" if n else "")
+        run = 0
+        for k in range(1, 64):
+            v = u[k]
+            if v == 0:
+                run += 1
+                continue
+            while run > 15:
+                code, size = media.AC_CODES[0xF0]
+                bits += f"{code:0{size}b}"
+                run -= 16
+            n = abs(v).bit_length()
+            code, size = media.AC_CODES[run << 4 | n]
+            bits += f"{code:0{size}b}" + f"{v if v > 0 else v + (1 << n) - 1:0{n}b}"
+            run = 0
+        if run:
+            code, size = media.AC_CODES[0]
+            bits += f"{code:0{size}b}"
+        if (i + 1) % interval == 0 or i == len(units) - 1:
+            bits += "1" * (-len(bits) % 8)
+            out += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+            if i < len(units) - 1:
+                out += bytes((0xFF, 0xD0 + i // interval % 8))
+            bits, pred = "", 0
+    return out
+
+
+def test_decoder_on_longer_intervals_and_signs():
+    rng = np.random.default_rng(4)
+    units = rng.integers(-200, 200, (12, 64)) * (rng.random((12, 64)) < 0.3)
+    for interval in (1, 3, 12):
+        head = media.header(8 * 4, 8 * 3, 12 * 64).replace(b"\xff\xdd\0\4\0\1", b"\xff\xdd\0\4" + interval.to_bytes(2, "big"))
+        frame, blocks = media.decode([head + encode_plain(units, interval) + b"\xff\xd9"])[0]
+        assert (blocks.reshape(12, 64) == units).all()
+        assert media.thumbnail(frame, blocks).shape == (3, 4)
+
+
+def sets(text):
+    w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def test_contamination_against_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(200)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([3, 5, 12, 40])))) for i in range(25)] + [(90, None), (91, "")]
+    docs = []
+    for d in range(120):
+        t = rng.choices(words, k=rng.choice([2, 30, 300]))
+        if d % 3 == 0:
+            item = rng.choice(items[:25])[1].split(" ")
+            for _ in range(rng.randrange(3)):
+                item[rng.randrange(len(item))] = "changed"
+            at = rng.randrange(len(t))
+            t = t[:at] + item + t[at:]
+        docs.append((d // 2, ", ".join(t).upper() if d % 2 else " ".join(t)))
+    docs += [(500, None), (501, ""), (502, items[0][1]), (None, items[1][1]), (502, items[0][1])]
+    want = set()
+    for d, t in docs:
+        for i, b in items:
+            s = sets(b)
+            if t and s and len(s & sets(t)) >= 0.8 * len(s):
+                want.add((d, i, len(s & sets(t)), len(s), t))
+    df = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (200_000, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+        got = decontam.contamination(df, bench).collect()
+        assert sorted((r[0] or -1, r[1], r[2], r[3]) for r in got) == sorted((w[0] or -1, *w[1:4]) for w in want)
+    leaky = {w[4] for w in want}
+    clean = decontam.decontaminate(df, bench)
+    assert sorted(str((r[0], r[1])) for r in clean.collect()) == sorted(str((d, t)) for d, t in docs if t not in leaky)
+    assert decontam.contamination(df.limit(0), bench).count() == 0
+    assert decontam.contamination(df, bench.limit(0)).count() == 0
+
+
+def test_quality_on_labels_and_edges(spark):
+    base = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(docs, labels).join(labels, "doc_id").collect()
+    junk, sound, toxic = ([r["keep"] for r in got if c(r)] for c in (lambda r: r["quality"] == 0, lambda r: r["quality"] == 1 and r["toxic"] == 0, lambda r: r["toxic"] == 1))
+    assert sum(junk) <= 0.02 * len(junk) and sum(sound) >= 0.98 * len(sound) and sum(toxic) <= 0.4 * len(toxic)
+    odd = spark.createDataFrame([(1, None, 0), (1, "", 0), (None, "plain words here.", 0)], "doc_id long, text string, keep int")
+    assert quality.classify(odd).count() == 3 and quality.classify(odd.limit(0)).count() == 0
+    assert quality.keep_sound(odd.limit(0), labels).count() == 0
+
+
+def test_label_model_recovers_accuracies():
+    rng = random.Random(6)
+    right, patterns, truth = (0.95, 0.85, 0.75, 0.6), {}, {}
+    for _ in range(20_000):
+        bad = rng.random() < 0.3
+        key = "".join("0" if rng.random() < 0.2 else ("1" if (rng.random() < a) == bad else "2") for a in right)
+        patterns[key] = patterns.get(key, 0) + 1
+        truth[key] = truth.get(key, 0) + bad
+    p, theta = quality.fit_labellers(patterns)
+    for j, a in enumerate(right):
+        assert abs(theta[j, 0, 1] / (theta[j, 0, 1] + theta[j, 0, 2]) - a) < 0.05
+    assert sum((p[k] > 0.5) == (truth[k] > n / 2) for k, n in patterns.items()) > 0.9 * len(patterns)
+    assert quality.fit_labellers({})[0] == {}
+
+
+def test_licenses(spark):
+    docs = spark.createDataFrame([(1, "plain words\n\nReleased under the MIT License.\nmore", 0), (2, "She renewed her driving license today.", 0), (3, None, 0), (None, "Licensed under the Apache License, Version 2.0.", 0), (4, "", 0)], "doc_id long, text string, family int")
+    got = {(r["doc_id"], r["paragraph"], r["family"], r["confirmed"]) for r in licenses.scan(docs).collect()}
+    assert got == {(1, 2, "mit", True), (None, 0, "apache-2.0", True)}
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_license_classifier_held_out(spark):
+    data = licenses.examples([f"some plain words number {k} of the day" for k in range(300)], seed=99)
+    model = licenses.train(spark, [f"some plain words number {k} of the day" for k in range(300)])
+    assert sum(model.predict(w)[0] == f for f, w in data) > 0.9 * len(data)
