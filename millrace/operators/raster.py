@@ -16,6 +16,8 @@ SIDE = 8
 GAUSS_5 = [(dy, dx, math.exp(-(dy * dy + dx * dx) / (2 * 1.5**2))) for dy in range(-2, 3) for dx in range(-2, 3)]
 SOBEL_X = [(dy, dx, float(w)) for dy, row in zip((-1, 0, 1), ((-1, 0, 1), (-2, 0, 2), (-1, 0, 1)), strict=True) for dx, w in zip((-1, 0, 1), row, strict=True) if w]
 SOBEL_Y = [(dx, dy, w) for dy, dx, w in SOBEL_X]
+GAUSS_9 = [(dy, dx, math.exp(-(dy * dy + dx * dx) / 2)) for dy in range(-4, 5) for dx in range(-4, 5)]
+GAUSS_3 = [(dy, dx, math.exp(-(dy * dy + dx * dx) / (2 * 0.8**2))) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 ANGLES = {0: (0, 1), 45: (-1, 1), 90: (-1, 0), 135: (-1, -1)}
 
 
@@ -145,3 +147,30 @@ def salted(tiles: DataFrame, share: float, seed: int = 42) -> DataFrame:
     place = F.array(*[F.lit(order.index(i)) for i in range(n)])
     hit = lambda v, p: F.when(p < many // 2, F.lit(255.0)).when(p < many, F.lit(0.0)).otherwise(v)
     return tiles.select("img", F.zip_with("v", place, hit).alias("v"))
+
+
+def sensor_noise(tiles: DataFrame) -> DataFrame:
+    """Relative residual of a Gaussian of deviation 1, less its own 3 x 3 blur, as tiles."""
+    g = tiles.select("img", F.transform("v", lambda x: x / 255.0).alias("v"))
+    g = g.withColumn("s", filtered(F.col("v"), normalized(GAUSS_9))).select("img", F.zip_with("v", "s", lambda a, b: (a - b) / (a + 1e-3)).alias("v"))
+    return residual(g, GAUSS_3)
+
+
+def autocorrelation_peak(tiles: DataFrame, side: int = SIDE) -> DataFrame:
+    """(img, peak): the largest absolute circular autocorrelation off the origin, by that at it."""
+    m = mean(F.col("v"))
+    z = tiles.select("img", F.transform("v", lambda x: x - m).alias("v"))
+    dot = lambda index: F.aggregate(F.zip_with("v", F.transform(index, lambda i: F.get("v", i)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    shifts = [F.array(*[F.lit((y + dy) % side * side + (x + dx) % side) for y in range(side) for x in range(side)]) for dy in range(side) for dx in range(side)]
+    peak = F.array_max(F.array(*[F.abs(dot(i)) for i in shifts[1:]]))
+    return z.select("img", F.round(peak / (dot(shifts[0]) + 1e-8), 6).alias("peak"))
+
+
+def chroma(pixels: DataFrame) -> DataFrame:
+    """(img, chroma_mean, chroma_std, chroma_p90) of pixel rows (img, y, x, r, g, b): CIELAB chroma by 181."""
+    linear = lambda c: F.when(F.col(c) / 255.0 <= 0.04045, F.col(c) / 255.0 / 12.92).otherwise(F.pow((F.col(c) / 255.0 + 0.055) / 1.055, F.lit(2.4)))
+    r, g, b = (linear(c) for c in "rgb")
+    f = lambda t: F.when(t > 0.008856, F.cbrt(t)).otherwise(t * 7.787 + 16.0 / 116.0)
+    p = pixels.select("img", f((r * 0.412453 + g * 0.357580 + b * 0.180423) / 0.950456).alias("fx"), f(r * 0.212671 + g * 0.715160 + b * 0.072169).alias("fy"), f((r * 0.019334 + g * 0.119193 + b * 0.950227) / 1.088754).alias("fz"))
+    c = p.select("img", (F.sqrt(F.pow((F.col("fx") - F.col("fy")) * 500, F.lit(2.0)) + F.pow((F.col("fy") - F.col("fz")) * 200, F.lit(2.0))) / 181.0).alias("c"))
+    return c.groupBy("img").agg(F.round(F.avg("c"), 6).alias("chroma_mean"), F.round(F.stddev_pop("c"), 6).alias("chroma_std"), F.round(F.percentile("c", F.lit(0.9)), 6).alias("chroma_p90"))

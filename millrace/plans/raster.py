@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import sanitized
 from millrace.operators import raster as R
 from millrace.plans import bindings as B
 from millrace.plans.bindings import hash_sql, sql
@@ -131,3 +132,54 @@ def a26(spark, d):
     tp = F.count_if((F.col("pred") == 1) & (F.col("y") == 1))
     wrong = F.count_if(F.col("pred") != F.col("y"))
     return scored(spark, d).groupBy("level").agg(F.round(F.coalesce(F.try_divide(2.0 * tp, 2 * tp + wrong), F.lit(0.0)), 6).alias("f1"))
+
+
+NOISE = dict(g="SELECT img, y, x, v/255.0::DOUBLE AS v FROM tiles", k9=taps_sql(R.normalized(R.GAUSS_9)), c9=conv_sql("k9", "g"), q="SELECT img, y, x, (v-s)/(v+1e-3::DOUBLE) AS v FROM c9", k3=taps_sql(R.normalized(R.GAUSS_3)), c3=conv_sql("k3", "q"), z="SELECT img, y, x, v-s AS v FROM c3")
+
+
+@query("r04_sensor_noise", sql("SELECT img, mean, std, energy, round(high/(low+1e-8),6) AS fft_ratio FROM (SELECT img, round(avg(v),6) AS mean, round(stddev_pop(v),6) AS std, round(avg(v*v),6) AS energy FROM z GROUP BY img) JOIN f USING (img)", "tiles", **NOISE, f=SPECTRUM.replace("FROM tiles,", "FROM z,")))
+def r04(spark, d):
+    z = R.sensor_noise(tiles(spark, d))
+    return R.moments(z).join(R.spectrum(z).select("img", "fft_ratio"), "img")
+
+
+PEAK = "SELECT img, round(max(abs(c)) FILTER (dy<>0 OR dx<>0)/(max(c) FILTER (dy=0 AND dx=0)+1e-8),6) AS peak FROM (SELECT p.img, a.dy, b.dx, sum(p.v*q.v) AS c FROM n p, range(8) a(dy), range(8) b(dx) JOIN n q ON q.img=p.img AND q.y=(p.y+a.dy)%8 AND q.x=(p.x+b.dx)%8 GROUP BY ALL) GROUP BY img"
+
+
+@query("r04_autocorrelation", sql(PEAK, "tiles", n="SELECT img, y, x, v-avg(v) OVER (PARTITION BY img) AS v FROM tiles"))
+def r04_peak(spark, d):
+    return R.autocorrelation_peak(tiles(spark, d))
+
+
+def lin(c: str) -> str:
+    return f"CASE WHEN {c}/255.0::DOUBLE<=0.04045::DOUBLE THEN {c}/255.0::DOUBLE/12.92::DOUBLE ELSE pow(({c}/255.0::DOUBLE+0.055::DOUBLE)/1.055::DOUBLE,2.4::DOUBLE) END"
+
+
+def lab(t: str) -> str:
+    return f"CASE WHEN {t}>0.008856::DOUBLE THEN cbrt({t}) ELSE {t}*7.787::DOUBLE+16.0::DOUBLE/116 END"
+
+
+RGB = "SELECT img//3 AS img, y, x, max(v) FILTER (img%3=0) AS r, max(v) FILTER (img%3=1) AS g, max(v) FILTER (img%3=2) AS b FROM tiles GROUP BY ALL HAVING count(*)=3"
+LINEAR = f"SELECT img, {lin('r')} AS r, {lin('g')} AS g, {lin('b')} AS b FROM rgb"
+XYZ = "SELECT img, (r*0.412453::DOUBLE+g*0.357580::DOUBLE+b*0.180423::DOUBLE)/0.950456::DOUBLE AS x, r*0.212671::DOUBLE+g*0.715160::DOUBLE+b*0.072169::DOUBLE AS y, (r*0.019334::DOUBLE+g*0.119193::DOUBLE+b*0.950227::DOUBLE)/1.088754::DOUBLE AS z FROM lin"
+CHROMA = f"SELECT img, sqrt(pow(500*({lab('x')}-{lab('y')}),2)+pow(200*({lab('y')}-{lab('z')}),2))/181 AS c FROM xyz"
+
+
+@query("r07_chroma", sql("SELECT img, round(avg(c),6) AS chroma_mean, round(stddev_pop(c),6) AS chroma_std, round(quantile_cont(c,0.9),6) AS chroma_p90 FROM ch GROUP BY img", "tiles", rgb=RGB, lin=LINEAR, xyz=XYZ, ch=CHROMA))
+def r07(spark, d):
+    t = B.tiles(spark, d)
+    of = lambda k, n: F.max(F.when(F.col("img") % 3 == k, F.col("v"))).alias(n)
+    rgb = t.groupBy(F.expr("img div 3").alias("img3"), "y", "x").agg(of(0, "r"), of(1, "g"), of(2, "b"), F.count("*").alias("n")).where("n = 3")
+    return R.chroma(rgb.withColumnRenamed("img3", "img"))
+
+
+JOB = " JOIN ".join(f"({ORACLES[n]}) t{i}" + (" USING (img)" if i else "") for i, n in enumerate(("r01_pixel_stats", "r03_spectrum", "r05_cooccurrence", "r06_gradients")))
+WANTED = ["mean", "std", "fft_ratio", "contrast", "homogeneity", "sobel_mean"]
+
+
+@query("r10_feature_job", f"SELECT img, {', '.join(f'{c} AS f_{c}' for c in sorted(WANTED))} FROM {JOB} WHERE img%3=0")
+def r10(spark, d):
+    wanted = B.read(spark, d, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("img"))
+    t = tiles(spark, d).join(wanted, "img", "left_semi")
+    joined = R.pixel_stats(t).join(R.spectrum(t), "img").join(R.cooccurrence(t), "img").join(R.gradients(t), "img")
+    return joined.select("img", *[sanitized(F.col(c)).alias(f"f_{c}") for c in sorted(WANTED)])
