@@ -78,17 +78,17 @@ class Encoder:
 
 
 def cuts(doc_id: int | None, tokens: int, window: int) -> list[int]:
-    """Where a document is cut: at each full window, and, for some documents, once more in what is left.
+    """Where a document is cut: at each full window, and, for some documents, in what is left.
 
-    The rest goes uncut into a window of its own or shared. A share of the documents (half of those whose
-    rest no second one like it can join, a quarter of the other longer ones) is cut at a place drawn from
-    the id, so that many documents of one length still leave pieces of all lengths to fill gaps with.
+    As many copies of the rest as fit leave a gap in a window. A share of the documents (the gap's share of the
+    window and a quarter more, drawn by the id) has its rest cut into pieces of the gap's size, so that a corpus full
+    of one length can fill its own gaps. Gaps under a 32nd of the window are left to other documents.
     """
     at = list(range(0, tokens, window))
     rest = tokens - at[-1]
-    draw = zlib.crc32(f"{doc_id}:{tokens}".encode())
-    if rest > window // 8 and rest < window and draw % 4 < (2 if rest > window // 2 else 1):
-        at.append(at[-1] + 1 + (draw >> 2) % (rest - 1))
+    gap = window % rest
+    if gap >= window // 32 and zlib.crc32(f"{doc_id}:{tokens}".encode()) % 1024 < gap * 1280 // window:
+        at += range(at[-1] + gap, tokens, gap)
     return at
 
 
