@@ -50,27 +50,36 @@ def describe(raw: bytes) -> dict[str, float]:
     }
 
 
+def two_sided(value: float, bad: float, good: float) -> int:
+    """BAD beyond one bound, GOOD beyond the other, nothing between them."""
+    if bad > good:
+        return BAD if value > bad else GOOD if value < good else ABSTAIN
+    return BAD if value < bad else GOOD if value > good else ABSTAIN
+
+
 def form_votes(d: dict[str, float]) -> list[int]:
-    """Votes of the labellers of form. Each kind of junk is seen by two or more; sound prose gets votes for it."""
+    """Votes of the labellers of form. Each kind of junk is seen by two or more."""
     if d["n"] == 0:
         return [BAD] * 8
     return [
-        BAD if d["repeat"] > 0.2 else GOOD if d["repeat"] < 0.08 else ABSTAIN,
-        BAD if d["n"] >= 50 and d["variety"] < 0.3 else ABSTAIN,
-        BAD if d["upper"] > 0.5 else GOOD if d["upper"] < 0.2 else ABSTAIN,
-        BAD if d["bang"] > 0.3 else ABSTAIN,
-        BAD if d["marks"] > 0.5 else GOOD if d["marks"] < 0.1 else ABSTAIN,
-        BAD if d["letters"] < 0.7 else ABSTAIN,
-        BAD if d["pipes"] > 0.1 else ABSTAIN,
+        two_sided(d["repeat"], 0.2, 0.08),
+        two_sided(d["variety"], 0.3, 0.6) if d["n"] >= 50 else ABSTAIN,
+        two_sided(d["upper"], 0.5, 0.2),
+        two_sided(d["bang"], 0.3, 0.05),
+        two_sided(d["marks"], 0.5, 0.1),
+        two_sided(d["letters"], 0.7, 0.75),
+        two_sided(d["pipes"], 0.1, 0.02),
         BAD if d["n"] >= 30 and d["stops"] < 0.004 else GOOD if 0.02 < d["stops"] < 0.35 and d["longest"] < 12 else ABSTAIN,
     ]
 
 
 def tone_votes(words: list[str]) -> list[int]:
-    """Votes on abuse: any insult, several, and, for English, none."""
-    hits = sum(w in INSULTS for w in words)
-    english = sum(w in ENGLISH for w in words) > 0.05 * len(words)
-    return [BAD if hits else ABSTAIN, BAD if hits >= 3 or hits > 0.02 * len(words) else ABSTAIN, GOOD if english and not hits else ABSTAIN]
+    """Votes on abuse: any insult, several, different ones. Without a hit they speak for English texts only."""
+    hits = [w for w in words if w in INSULTS]
+    clean = GOOD if sum(w in ENGLISH for w in words) > 0.05 * len(words) else ABSTAIN
+    if not hits:
+        return [clean] * 3
+    return [BAD, BAD if len(hits) >= 3 or len(hits) > 0.02 * len(words) else ABSTAIN, BAD if len(set(hits)) >= 2 else ABSTAIN]
 
 
 def votes(raw: bytes) -> tuple[str, str]:
@@ -98,7 +107,7 @@ def voted(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def fit_labellers(patterns: dict[str, int], rounds: int = 60) -> tuple[dict[str, float], np.ndarray]:
-    """EM for labellers that vote independently given a hidden class.
+    """EM for labellers that vote independently given a hidden class; not voting says nothing.
 
     patterns: how many documents have each combination of votes (at most 3^labellers entries). Returns
     P(bad) of each combination, and P(vote | class) of each labeller. It starts from majority votes.
@@ -110,15 +119,15 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 60) -> tuple[dict[str,
     n = np.array([patterns[k] for k in keys], dtype=float)
     bad, good = (v == BAD).sum(1), (v == GOOD).sum(1)
     p = np.where(bad > 0, (bad + 1) / (bad + 0.5 * good + 1.5), 0.02)
-    hot = np.stack([v == k for k in range(3)], axis=2).astype(float)
+    hot = np.stack([v == k for k in (BAD, GOOD)], axis=2).astype(float)
     for _ in range(rounds):
         weight = np.stack([n * p, n * (1 - p)])
         prior = (weight.sum(1) + 1) / (n.sum() + 2)
-        votes = np.einsum("cp,plv->lcv", weight, hot) + 0.5
-        theta = votes / votes.sum(2, keepdims=True)
+        cast = np.einsum("cp,plv->lcv", weight, hot) + 0.5
+        theta = cast / cast.sum(2, keepdims=True)
         log = np.log(prior)[:, None] + np.einsum("plv,lcv->cp", hot, np.log(theta))
         p = 1 / (1 + np.exp(np.clip(log[1] - log[0], -50, 50)))
-    return dict(zip(keys, map(float, p), strict=True)), theta
+    return dict(zip(keys, map(float, p), strict=True)), np.concatenate((np.zeros_like(theta[:, :, :1]), theta), axis=2)
 
 
 def features(raw: bytes, bits: int = BITS) -> set[int]:
