@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import cut
+
 SIDE = 8
 GAUSS_5 = [(dy, dx, math.exp(-(dy * dy + dx * dx) / (2 * 1.5**2))) for dy in range(-2, 3) for dx in range(-2, 3)]
 SOBEL_X = [(dy, dx, float(w)) for dy, row in zip((-1, 0, 1), ((-1, 0, 1), (-2, 0, 2), (-1, 0, 1)), strict=True) for dx, w in zip((-1, 0, 1), row, strict=True) if w]
@@ -150,10 +152,10 @@ def salted(tiles: DataFrame, share: float, seed: int = 42) -> DataFrame:
 
 
 def sensor_noise(tiles: DataFrame) -> DataFrame:
-    """Relative residual of a Gaussian of deviation 1, less its own 3 x 3 blur, as tiles."""
-    g = tiles.select("img", F.transform("v", lambda x: x / 255.0).alias("v"))
-    g = g.withColumn("s", filtered(F.col("v"), normalized(GAUSS_9))).select("img", F.zip_with("v", "s", lambda a, b: (a - b) / (a + 1e-3)).alias("v"))
-    return residual(g, GAUSS_3)
+    """Relative residual of a Gaussian of deviation 1, less its own 3 x 3 blur, as tiles. Each filter is cut by a checkpoint, or the next would work it out anew at every tap."""
+    smooth = tiles.withColumn("s", filtered(F.col("v"), normalized(GAUSS_9)))
+    relative = smooth.select("img", F.zip_with("v", "s", lambda a, b: (a / 255.0 - b / 255.0) / (a / 255.0 + 1e-3)).alias("v"))
+    return cut(residual(cut(relative), GAUSS_3))
 
 
 def autocorrelation_peak(tiles: DataFrame, side: int = SIDE) -> DataFrame:

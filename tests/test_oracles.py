@@ -1,4 +1,4 @@
-"""Every query with SQL, against DuckDB on the smallest tables."""
+"""Every query with SQL, against DuckDB."""
 
 import decimal
 import math
@@ -9,7 +9,7 @@ import pytest
 
 from millrace.plans.registry import ORACLES, QUERIES
 
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
