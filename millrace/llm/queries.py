@@ -74,4 +74,22 @@ QUERIES: dict[str, Query] = {
         op10_jpeg_media,
     )
 }
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex(lower(text),'[^\p{L}\p{N}]+'), lambda x: x<>'')"
+_SHINGLES = "CASE WHEN len(w)>=5 THEN [array_to_string(w[i:i+4],' ') FOR i IN range(1,len(w)-3)] WHEN len(w)>0 THEN [array_to_string(w,' ')] ELSE [] END"
+
+ORACLES: dict[str, str] = {
+    "op3_recompression_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text,''),'[\x20\x09-\x0D]+'), lambda x: x<>'') AS w FROM documents),
+win AS (SELECT doc_id, s, md5(array_to_string(w[s:s+49],' ')) AS h FROM (SELECT doc_id, w, unnest(range(1,len(w)-48)) AS s FROM d WHERE len(w)>=50)),
+gone AS (SELECT win.doc_id, s FROM win JOIN (SELECT h, min(doc_id) AS first FROM win GROUP BY h) USING (h) WHERE first<win.doc_id),
+word AS (SELECT doc_id, unnest(range(1,len(w)+1)) AS k, unnest(w) AS word FROM d),
+cut AS (SELECT word.*, max(g.s) OVER (PARTITION BY word.doc_id ORDER BY k ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS hit FROM word LEFT JOIN gone g ON g.doc_id=word.doc_id AND g.s=word.k),
+kept AS (SELECT doc_id, count(*) FILTER (hit) AS n_removed, string_agg(word,' ' ORDER BY k) FILTER (NOT hit) AS t FROM cut GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed,0) AS n_removed, sha256(coalesce(t,'')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op8_minhash_containment": f"""
+WITH d AS (SELECT DISTINCT doc_id, md5(text) AS t, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, text, {_WORDS} AS w FROM documents WHERE text IS NOT NULL)),
+i AS (SELECT DISTINCT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL)),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
+SELECT doc_id, item_id, n_shared, n_item, round(CAST(n_shared AS DOUBLE)/n_item,6) AS containment
+FROM (SELECT doc_id, t, item_id, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY ALL) JOIN n USING (item_id) WHERE n_shared>=0.8::DOUBLE*n_item""",
+}
