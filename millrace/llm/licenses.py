@@ -227,9 +227,10 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     smallest by hash. No shuffle but for that sample.
     """
     spark = docs.sparkSession
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("paragraphs")), F.lit(1 << 16))
+    share = min(1.0, 2 * sample / max(1, docs.count()))  # else each task would send `sample` rows to be merged
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("paragraphs")), F.lit(1 << 30))
     lines = docs.where("text is not null").select("doc_id", drawn.alias("d"), F.substring_index("text", "\n", 1).alias("p")).where(F.length("p").between(1, 2000))
-    background = [r["p"] for r in lines.orderBy("d", "doc_id", "p").limit(sample).collect()]
+    background = [r["p"] for r in lines.where(F.col("d") < int(share * (1 << 30))).orderBy("d", "doc_id", "p").limit(sample).collect()]
     model = spark.sparkContext.broadcast(train(spark, background))
 
     def rows(part: Iterator[tuple]) -> Iterator[tuple]:
