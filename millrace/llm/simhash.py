@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm import jaccard
 from millrace.llm.common import Scratch, components, map_texts
 
 GENERATOR = 0b110001110101
@@ -154,12 +155,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs for each component of near duplicates, with all its columns: that of the smallest doc_id.
 
+    Texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more (`jaccard`);
+    fingerprints within two bits miss most such pairs, and link others. Texts without words are one group.
     Of several rows with that id the one whose text's hash is smallest stays, and of equal ones any; null
     ids come last. Rows to drop are found by id and text hash, so texts move only if the list of dropped
     rows is too large for Spark to broadcast.
     """
     scratch = Scratch(docs.sparkSession, "keep-first")
-    rows = scratch.save(classes(docs).withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t")), "classes")
+    rows = scratch.save(jaccard.classes(docs).withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t")), "classes")
     leads = rows.groupBy("root").agg(F.min("key").alias("lead"))
     judged = rows.join(leads, "root")
     gone = judged.where("key <> lead").select("key").distinct()
