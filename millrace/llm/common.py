@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,11 +21,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    """The folder every executor shares: spark.checkpoint.dir. Only a local session may go without and gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-millrace-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -41,6 +43,13 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, name: str, ddl: str, **more: T.DataType) -> DataFrame:
+        """A saved table under other types that it is stored alike, such as vectors."""
+        schema = T._parse_datatype_string(ddl)
+        for column, kind in more.items():
+            schema = schema.add(column, kind)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
     def drop(self, *names: str) -> None:
         """Remove tables that nothing lazy still reads."""
         jvm = self.spark._jvm
@@ -49,11 +58,18 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches hold at most `rows` rows from now on: whole texts of the default 10,000 rows fill an executor."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def parts(sizes: np.ndarray, rows: int = 512, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of cuts of a batch: at most `rows` rows and, but for single rows, about `limit` bytes each."""
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(ends):
+        base = ends[at - 1] if at else 0
+        n = max(1, min(rows, int(np.searchsorted(ends, base + limit, side="right")) - at))
+        yield at, n
+        at += n
+
+
+def lengths(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
 
 
 def bucket(cols: Sequence[str | Column], n: int) -> Column:
@@ -102,22 +118,23 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def map_texts(df: DataFrame, keys: Sequence[str], rows: Callable[[Iterator[tuple]], Iterable[tuple]], schema: T.StructType, text: str = "text", step: int = 512) -> DataFrame:
-    """Apply `rows` to (keys..., UTF-8 bytes or None) of each row, a few hundred rows at a time, in Arrow."""
-    short_batches(df.sparkSession)
+def map_texts(df: DataFrame, keys: Sequence[str], rows: Callable[..., Iterable[tuple]], schema: T.StructType, text: str = "text", step: int = 512, setup: Callable[[], object] | None = None) -> DataFrame:
+    """Apply `rows` to (keys..., UTF-8 bytes or None) of each row in Arrow; a few megabytes of text are made Python objects at a time.
+
+    setup, if given, makes what a task keeps between calls: a second argument of `rows`.
+    """
     keys = list(keys)
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
+        arrow, kept = to_arrow_schema(schema), (setup(),) if setup else ()
         for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                part = whole.slice(at, step)
-                columns = [part.column(k).to_pylist() for k in range(len(keys))]
-                texts = part.column(len(keys)).cast(pa.large_binary()).to_pylist()
-                out = list(rows(zip(*columns, texts, strict=True)))
+            raw = whole.column(len(keys)).cast(pa.large_binary())
+            for at, n in parts(lengths(raw), step):
+                columns = [whole.column(k).slice(at, n).to_pylist() for k in range(len(keys))]
+                out = list(rows(zip(*columns, raw.slice(at, n).to_pylist(), strict=True), *kept))
                 cols = list(zip(*out, strict=True)) if out else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 

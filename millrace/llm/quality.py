@@ -3,21 +3,34 @@
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import map_texts
+from millrace.llm.common import Scratch, lengths, map_texts, parts
 
-BITS = 16
+BITS = 15
 #: Bound of the training sample: about so many rows, drawn by a hash of the id from all rows.
 SAMPLE = 20_000
+#: Bound of the labelled rows, drawn likewise, from which the lists of suspect word beginnings are learned.
+TAUGHT = 20_000
+#: Longest list of word beginnings of a family, and how often a listed one occurs in abusive and how much rarer in other texts.
+LISTED, SEEN, TIMES = 2_000, 4, 25.0
+#: Letters of the beginnings of each family, and how many different words of a text must share one.
+FAMILIES = {"once": ((5, 6), 1), "twice": ((3, 4, 5), 2)}
+START_BITS = 20
+REMEMBERED = 100_000
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
 #: Insults that the tone labellers look for.
@@ -73,37 +86,120 @@ def form_votes(d: dict[str, float]) -> list[int]:
     ]
 
 
-def tone_votes(words: list[str]) -> list[int]:
-    """Votes on abuse: any insult, several, different ones. Without a hit they speak for English texts only."""
-    hits = [w for w in words if w in INSULTS]
-    clean = GOOD if sum(w in ENGLISH for w in words) > 0.05 * len(words) else ABSTAIN
-    if not hits:
-        return [clean] * 3
-    return [BAD, BAD if len(hits) >= 3 or len(hits) > 0.02 * len(words) else ABSTAIN, BAD if len(set(hits)) >= 2 else ABSTAIN]
+class Remembered(dict):
+    """What a function says of a word; forgotten when there are too many."""
 
+    def __init__(self, function):
+        super().__init__()
+        self.function = function
 
-def votes(raw: bytes) -> tuple[str, str]:
-    words = WORD.findall(raw.decode("utf-8", "replace").lower())
-    return "".join(map(str, form_votes(describe(raw)))), "".join(map(str, tone_votes(words)))
+    def __missing__(self, word: str):
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = out = self.function(word)
+        return out
+
+
+def words_of(raw: bytes) -> list[str]:
+    return WORD.findall(raw.decode("utf-8", "replace").lower())
+
+
+def begins(word: str, sizes: tuple[int, ...], bits: int = START_BITS) -> list[int]:
+    """Hashes of the word's beginnings of some lengths."""
+    mask = (1 << bits) - 1
+    return [crc32(word[:n].encode()) & mask for n in sizes if len(word) >= n]
+
+
+class Tone:
+    """The labellers of tone: fixed insults, and two lists of word beginnings learned from annotated texts of any language."""
+
+    def __init__(self, lists: dict[str, frozenset[int]]):
+        self.lists = lists
+        self.hits = Remembered(self.listed)
+
+    def listed(self, word: str) -> list[list[int]] | None:
+        out = [[h for h in begins(word, FAMILIES[f][0]) if h in self.lists[f]] for f in FAMILIES]
+        return out if any(out) else None
+
+    def votes(self, words: list[str]) -> list[int]:
+        """Insults: one is enough; without any they speak for English texts only.
+
+        List "once": two different words with a listed beginning; one says nothing. List "twice": two different words that share one.
+        """
+        distinct = set(words)
+        english = len([w for w in words if w in ENGLISH]) > 0.05 * len(words)
+        out = [BAD if not INSULTS.isdisjoint(distinct) else GOOD if english else ABSTAIN]
+        if not any(self.lists.values()):
+            return out + [ABSTAIN, ABSTAIN]
+        hits = [h for h in map(self.hits.__getitem__, distinct) if h]
+        once = sum(bool(h[0]) for h in hits)
+        twice = max(Counter(x for h in hits for x in h[1]).values(), default=0)
+        return out + [BAD if once > 1 else ABSTAIN, BAD if twice > 1 else GOOD]
+
+
+def worst(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality, toxic): repeated labels of an id count as the worst."""
+    return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+
+
+def drawn(share: float, salt: str):
+    return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+
+
+STARTS = T.StructType([T.StructField("family", T.StringType()), T.StructField("start", T.LongType()), T.StructField("bad", T.LongType()), T.StructField("n", T.LongType())])
+
+
+def learn_starts(docs: DataFrame, labels: DataFrame | None, bound: int = TAUGHT) -> dict[str, frozenset[int]]:
+    """Hashes of word beginnings that abusive texts have and others lack, by family, from about `bound` labelled rows.
+
+    A beginning is listed if SEEN or more abusive texts have it, at a share TIMES that of the other texts; at
+    most LISTED of a family. Texts of unsound form are left out. Without labels the lists are empty.
+    """
+    if labels is None:
+        return {f: frozenset() for f in FAMILIES}
+    told = worst(labels).where("toxic is not null and coalesce(quality, 1) <> 0").select("doc_id", "toxic")
+    taught = told.where(drawn(bound / max(1, told.count()), "taught"))
+
+    def rows(part: Iterator[tuple], kept: dict[str, Remembered]) -> Iterator[tuple]:
+        n: dict[tuple[str, int], list[int]] = {}
+        for toxic, text in part:
+            distinct = set(words_of(text or b""))
+            for f, (_, least) in FAMILIES.items():
+                for h, times in Counter(chain.from_iterable(map(kept[f].__getitem__, distinct))).items():
+                    if times >= least:
+                        c = n.setdefault((f, h), [0, 0])
+                        c[0] += int(toxic)
+                        c[1] += 1
+        yield from ((f, h, *c) for (f, h), c in n.items())
+
+    texts = docs.select("doc_id", "text").join(taught, "doc_id").select("toxic", "text")
+    counts = map_texts(texts, ["toxic"], rows, STARTS, setup=lambda: {f: Remembered(lambda w, n=sizes: begins(w, n)) for f, (sizes, _) in FAMILIES.items()}).groupBy("family", "start").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    sizes = taught.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.count("*").alias("n")).first()
+    rate = ((F.col("bad") + 0.5) / (sizes["bad"] + 1.0)) / ((F.col("n") - F.col("bad") + 0.5) / (sizes["n"] - sizes["bad"] + 1.0))
+    listed = counts.where(F.col("bad") >= SEEN).withColumn("rate", rate).where(F.col("rate") >= TIMES)
+    return {f: frozenset(r["start"] for r in listed.where(F.col("family") == f).orderBy(F.desc("rate"), "start").limit(LISTED).collect()) for f in FAMILIES}
 
 
 VOTES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("form", T.StringType()), T.StructField("tone", T.StringType())])
+LEARNING = T.StructType([*VOTES.fields, T.StructField("on", T.ArrayType(T.IntegerType()))])
 
 
-def voted(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(doc_id, form, tone): one character a labeller; the annotators of `labels`, where given, are the last one."""
+def voted(docs: DataFrame, labels: DataFrame | None, lists: dict[str, frozenset[int]], learning: bool = False) -> DataFrame:
+    """(doc_id, form, tone): one character a labeller; the annotators of `labels`, where given, are the last one. With `learning` also the text's features."""
 
-    def rows(part: Iterator[tuple]) -> Iterator[tuple]:
+    def rows(part: Iterator[tuple], kept: tuple[Tone, Features]) -> Iterator[tuple]:
+        tone, known = kept
         for doc_id, text in part:
-            yield doc_id, *votes(text or b"")
+            raw = text or b""
+            words, form = words_of(raw), form_votes(describe(raw))
+            row = doc_id, "".join(map(str, form)), "".join(map(str, tone.votes(words)))
+            yield (*row, known.of(words, form).tolist()) if learning else row
 
-    out = map_texts(docs, ["doc_id"], rows, VOTES)
-    if labels is None:
-        return out.select("doc_id", F.concat("form", F.lit("0")).alias("form"), F.concat("tone", F.lit("0")).alias("tone"))
-    told = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    out = map_texts(docs, ["doc_id"], rows, LEARNING if learning else VOTES, setup=lambda: (Tone(lists), Features()))
     said = lambda bad, good: F.when(bad, F.lit("1")).when(good, F.lit("2")).otherwise(F.lit("0"))
-    joined = out.join(told, "doc_id", "left")
-    return joined.select("doc_id", F.concat("form", said(F.col("quality") == 0, F.col("quality") == 1)).alias("form"), F.concat("tone", said(F.col("toxic") == 1, F.col("toxic") == 0)).alias("tone"))
+    joined = out.join(worst(labels), "doc_id", "left") if labels is not None else out.withColumn("quality", F.lit(None).cast("int")).withColumn("toxic", F.lit(None).cast("int"))
+    form, tone = F.concat("form", said(F.col("quality") == 0, F.col("quality") == 1)), F.concat("tone", said(F.col("toxic") == 1, F.col("toxic") == 0))
+    return joined.select("doc_id", form.alias("form"), tone.alias("tone"), *(["on"] if learning else []))
 
 
 def fit_labellers(patterns: dict[str, int], rounds: int = 60) -> tuple[dict[str, float], np.ndarray]:
@@ -130,86 +226,127 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 60) -> tuple[dict[str,
     return dict(zip(keys, map(float, p), strict=True)), np.concatenate((np.zeros_like(theta[:, :, :1]), theta), axis=2)
 
 
-def features(raw: bytes, bits: int = BITS) -> set[int]:
-    """Hashed features: words, their first four and five letters, and the form labellers' votes."""
-    words = set(WORD.findall(raw.decode("utf-8", "replace").lower()))
-    shapes = {f"_{k}={v}" for k, v in enumerate(form_votes(describe(raw)))}
-    names = words | {f"{w[:4]}-" for w in words if len(w) > 4} | {f"{w[:5]}-" for w in words if len(w) > 5} | shapes
-    mask = (1 << bits) - 1
-    return {zlib.crc32(w.encode()) & mask for w in names}
+class Features:
+    """Hashed features: the first three to six letters of words, those that different words share once more, and the form labellers' votes."""
+
+    def __init__(self, bits: int = BITS):
+        self.mask = (1 << bits) - 1
+        self.starts = Remembered(lambda w: begins(w, (3, 4, 5, 6), bits))
+        self.shapes = [[crc32(f"_{k}={v}".encode()) & self.mask for v in range(3)] for k in range(8)]
+
+    def of(self, words: list[str], form: list[int]) -> np.ndarray:
+        """Sorted distinct features of a text."""
+        starts = np.fromiter(chain.from_iterable(map(self.starts.__getitem__, set(words))), dtype=np.int64)
+        found, times = np.unique(starts, return_counts=True)
+        shared = (found[times > 1] * 40503 + 12345) & self.mask
+        return np.unique(np.concatenate((found, shared, [self.shapes[k][v] for k, v in enumerate(form)])).astype(np.int64))
+
+
+Scorer = tuple[np.ndarray, float]
+
+
+def cut_between(margins: np.ndarray, bad: np.ndarray) -> float:
+    """The margin that parts bad (weights) from good best: the largest sum of both shares caught, in the middle of where it is reached."""
+    if not len(margins) or not 0 < bad.sum() < len(bad):
+        return 0.0
+    order = np.argsort(margins)
+    m, b = margins[order], bad[order]
+    caught = 1 - np.concatenate(([0.0], np.cumsum(b))) / b.sum()
+    spared = np.concatenate(([0.0], np.cumsum(1 - b))) / (1 - b).sum()
+    k = int(np.argmax(np.round(caught + spared, 9)))
+    return float(m[0] - 1 if k == 0 else m[-1] + 1 if k == len(m) else (m[k - 1] + m[k]) / 2)
+
 
+def fit_scorer(rows: DataFrame, target: str, bits: int = BITS) -> Scorer:
+    """Logistic regression on soft labels: each row counts as both classes, weighted by its posterior.
 
-def fit_scorer(sample: DataFrame, target: str, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels: each row counts as both classes, weighted by its posterior."""
-    both = sample.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col(target).alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col(target)).alias("w")))).alias("e")).select("features", "e.label", "e.w").where("w > 0.001")
-    if not both.head(1):
+    A fifth of the rows, by hash, is held out; the intercept is set so that the cut that parts these best lies at one half.
+    """
+    known = rows.where(F.col(target).isNotNull())
+    sides = F.array(F.struct(F.lit(1.0).alias("label"), F.col(target).alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col(target)).alias("w")))
+    both = known.where("not held").select("features", F.explode(sides).alias("e")).select("features", "e.label", "e.w").where("w > 0.001")
+    if len(both.groupBy("label").count().head(2)) < 2:
         return np.zeros(1 << bits), -1.0
     model = LogisticRegression(weightCol="w", regParam=2e-4, maxIter=40, standardization=False, aggregationDepth=2).fit(both)
-    return np.asarray(model.coefficients.toArray()), float(model.intercept)
+    margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
+    held = model.transform(known.where("held")).select(margin, target).collect()  # two numbers a row, a fifth of the bounded sample
+    cut = cut_between(*(np.array([r[k] for r in held], dtype=float) for k in (0, 1)))
+    return np.asarray(model.coefficients.toArray()), float(model.intercept) - cut
+
+
+@dataclass
+class Judge:
+    """What is broadcast: the two scorers."""
+
+    form: Scorer
+    tone: Scorer
+
+    def verdict(self, known: Features, raw: bytes) -> tuple[float, float, bool]:
+        on = known.of(words_of(raw), form_votes(describe(raw)))
+        bad = [float(1 / (1 + np.exp(-np.clip(w[on].sum() + b, -50, 50)))) for w, b in (self.form, self.tone)]
+        return round(1 - bad[0], 6), round(bad[1], 6), bool(raw.strip()) and max(bad) < 0.5
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> dict[str, tuple[np.ndarray, float]]:
-    """Scorers "form" and "tone": (weights, intercept), trained on the label model's posteriors.
+def fit(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> Judge:
+    """Train on the label model's posteriors.
 
     The label model's statistics cover all rows. The scorers see a sample of about `sample` rows, by a
     hash of the id, of which those without any vote on an aspect are left out.
     """
-    from millrace.llm.common import Scratch
-
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    cast = scratch.save(voted(docs, labels), "votes")
-    posteriors, total = {}, 0
-    for aspect in ("form", "tone"):
-        counts = {r[0]: r["n"] for r in cast.groupBy(aspect).agg(F.count("*").alias("n")).collect()}
-        posteriors[aspect], total = fit_labellers(counts)[0], sum(counts.values())
-    share = min(1.0, sample / max(1, total))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))
-
-    @F.udf(VectorUDT())
-    def vector(text):
-        on = sorted(features((text or "").encode("utf-8", "replace")))
-        return SparseVector(1 << BITS, on, [1.0] * len(on))
-
-    believed = {a: F.create_map(*[F.lit(x) for kv in posteriors[a].items() for x in kv]) for a in posteriors}
-    rows = docs.select("doc_id", "text").where(drawn).join(cast.where(drawn).dropDuplicates(["doc_id"]), "doc_id")
-    known = lambda a: F.when(F.col(a).rlike("[12]"), believed[a][F.col(a)])
-    train = scratch.save(rows.select(vector("text").alias("features"), *[known(a).alias(a) for a in believed]).repartition(12), "sample") if total else None
-    return {a: fit_scorer(train.where(F.col(a).isNotNull()), a) if total else (np.zeros(1 << BITS), -1.0) for a in believed}
+    lists = learn_starts(docs, labels)
+    aspects = F.explode(F.array(*[F.struct(F.lit(a).alias("aspect"), F.col(a).alias("votes")) for a in ("form", "tone")])).alias("e")
+    counts = voted(docs, labels, lists).select(aspects).groupBy("e.aspect", "e.votes").agg(F.count("*").alias("n")).collect()
+    total = sum(r["n"] for r in counts) // 2
+    if not total:
+        return Judge((np.zeros(1 << BITS), -1.0), (np.zeros(1 << BITS), -1.0))
+    believed = [(a, k, p) for a in ("form", "tone") for k, p in fit_labellers({r["votes"]: r["n"] for r in counts if r["aspect"] == a})[0].items() if k.strip("0")]
+    posteriors = F.broadcast(spark.createDataFrame(believed, "aspect string, votes string, p double"))  # one row a combination of votes
+    rows = voted(docs.where(drawn(sample / total, "sample")), labels, lists, learning=True)
+    for a in ("form", "tone"):
+        rows = rows.join(posteriors.where(F.col("aspect") == a).select(F.col("votes").alias(a), F.col("p").alias(f"p_{a}")), a, "left")
+    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(1 << BITS).alias("size"), F.col("on").alias("indices"), F.transform("on", lambda _: F.lit(1.0)).alias("values"))
+    kept = rows.select(vector.alias("features"), F.col("p_form").alias("form"), F.col("p_tone").alias("tone"), drawn(0.2, "held").alias("held")).repartition(12)
+    scratch.save(kept, "sample")
+    train = scratch.read("sample", "form double, tone double, held boolean", features=VectorUDT())
+    judge = Judge(fit_scorer(train, "form"), fit_scorer(train, "tone"))
+    scratch.drop("sample")
+    return judge
 
 
 SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality_score", T.DoubleType()), T.StructField("toxic_score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
 
 
-def judge(raw: bytes, scorers: dict[str, tuple[np.ndarray, float]]) -> tuple[float, float, bool]:
-    on = list(features(raw))
-    bad = [float(1 / (1 + np.exp(-np.clip(w[on].sum() + b, -50, 50)))) for w, b in (scorers["form"], scorers["tone"])]
-    return round(1 - bad[0], 6), round(bad[1], 6), bool(raw.strip()) and max(bad) < 0.5
-
-
 def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, quality_score, toxic_score, keep) for every row of docs (doc_id, text).
 
     quality_score is the scorer's probability of sound form, toxic_score that of abuse; keep needs the
     first above and the second below one half. Null, empty and blank texts are rejected. labels (doc_id,
-    quality, toxic; optional) act as one more labeller whose accuracy EM estimates; repeated labels of an
+    quality, toxic; optional) act as one more labeller whose accuracy EM estimates, and teach the tone
+    labellers suspect word beginnings; repeated labels of an
     id count as the worst. Repeated rows and null ids are scored like any row; other columns are ignored.
     """
-    scorers = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+    judge = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
-    def rows(part: Iterator[tuple]) -> Iterator[tuple]:
+    def rows(part: Iterator[tuple], known: Features) -> Iterator[tuple]:
         for doc_id, text in part:
-            yield doc_id, *judge(text or b"", scorers.value)
+            yield doc_id, *judge.value.verdict(known, text or b"")
 
-    return map_texts(docs, ["doc_id"], rows, SCORES)
+    return map_texts(docs, ["doc_id"], rows, SCORES, setup=Features)
 
 
 def keep_sound(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that `classify` keeps, with all their columns."""
-    scorers = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
-
-    @F.pandas_udf("boolean")
-    def sound(text):
-        return text.map(lambda t: judge((t or "").encode("utf-8", "replace"), scorers.value)[2])
-
-    return docs.where(sound(F.coalesce("text", F.lit(""))))
+    judge = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Features()
+        for batch in batches:
+            raw = batch.column(place).cast(pa.large_binary())
+            for at, n in parts(lengths(raw)):
+                sound = [judge.value.verdict(known, text or b"")[2] for text in raw.slice(at, n).to_pylist()]
+                yield batch.slice(at, n).filter(pa.array(sound, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

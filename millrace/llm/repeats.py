@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Scratch, map_texts, short_batches
+from millrace.llm.common import Scratch, lengths, map_texts, parts
 
 NO_ID = -(1 << 63)  # stands for a null doc_id
 REGION = T.StructType([T.StructField(n, T.LongType()) for n in ("anchor", "region", "k", "at")])
@@ -101,7 +101,6 @@ def region_rows(docs: DataFrame, regions: Callable[[bytes], tuple[np.ndarray, np
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
 
-    short_batches(docs.sparkSession)
     return docs.where("text is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "text").mapInArrow(run, REGION)
 
 
@@ -129,13 +128,12 @@ def map_packed(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]],
 
         arrow = to_arrow_schema(schema)
         for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                part = whole.slice(at, step).to_pydict()
+            for at, n in parts(lengths(whole.column("z")), step, 1 << 20):
+                part = whole.slice(at, n).to_pydict()
                 out = list(rows(dict(zip(part, r, strict=True)) for r in zip(*part.values(), strict=True)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    short_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
