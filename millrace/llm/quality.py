@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import Scratch, lengths, map_texts, parts
+from millrace.llm.repeats import mix
 
 BITS = 15
 #: Bound of the training sample: about so many rows, drawn by a hash of the id from all rows.
@@ -27,10 +24,10 @@ SAMPLE = 20_000
 TAUGHT = 20_000
 #: Longest list of word beginnings of a family, and how often a listed one occurs in abusive and how much rarer in other texts.
 LISTED, SEEN, TIMES = 2_000, 4, 25.0
-#: Letters of the beginnings of each family, and how many different words of a text must share one.
-FAMILIES = {"once": ((5, 6), 1), "twice": ((3, 4, 5), 2)}
+#: Bytes of the word beginnings of each family, and how many different words of a text must share one.
+FAMILIES = {"once": ((5, 6, 7), 1), "twice": ((3, 4, 5, 6), 2)}
+SIZES = (3, 4, 5, 6, 7)
 START_BITS = 20
-REMEMBERED = 100_000
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
 #: Insults that the tone labellers look for.
@@ -38,7 +35,6 @@ INSULTS = frozenset("clown disgusting dumb dumbass garbage idiot idiots loser lo
 #: Frequent short words of English, by which a text counts as English.
 ENGLISH = frozenset("the of and in to is that it for was on are with as be by this have from or".split())
 MARKS = b"*#%&$@^~=<>{}[]\\_+"
-WORD = re.compile(r"[^\W\d_]+")
 
 
 def describe(raw: bytes) -> dict[str, float]:
@@ -86,55 +82,74 @@ def form_votes(d: dict[str, float]) -> list[int]:
     ]
 
 
-class Remembered(dict):
-    """What a function says of a word; forgotten when there are too many."""
+_FOLD = np.zeros(256, dtype=np.uint8)
+_FOLD[128:] = np.arange(128, 256)
+for _low in range(97, 123):
+    _FOLD[_low] = _FOLD[_low - 32] = _low
+_FOLD = _FOLD.tobytes()
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
-    def __init__(self, function):
-        super().__init__()
-        self.function = function
 
-    def __missing__(self, word: str):
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = out = self.function(word)
-        return out
+def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first eight bytes, length) of the words of a text, in order: runs of letters (A-Z folded) and of bytes beyond ASCII."""
+    folded = raw.translate(_FOLD) + bytes(24)
+    inside = np.frombuffer(folded, dtype=np.uint8) != 0
+    edge = np.flatnonzero(np.diff(inside)) + 1
+    if inside[0]:
+        edge = np.concatenate(([0], edge))
+    begin, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(raw) + 16,), dtype="<u8", buffer=folded, strides=(1,))
+    first = eight[begin] & _MASKS[np.minimum(size, 8)]
+    second = eight[begin + 8] & _MASKS[np.clip(size - 8, 0, 8)]
+    return mix(first * _ODD + second * np.uint64(0xC2B2AE3D27D4EB4F) + size.astype(np.uint64)), first, size
+
+
+def starts(first: np.ndarray, size: np.ndarray, sizes: tuple[int, ...], bits: int) -> np.ndarray:
+    """Hashes of the words' beginnings of some numbers of bytes."""
+    ids = [((first[size >= n] & _MASKS[n]) * _ODD + np.uint64(n)) * _ODD >> np.uint64(64 - bits) for n in sizes]
+    return np.concatenate(ids).astype(np.int64)
+
 
+def hashes(words: frozenset[str]) -> np.ndarray:
+    return np.sort(words_of(" ".join(sorted(words)).encode())[0])
 
-def words_of(raw: bytes) -> list[str]:
-    return WORD.findall(raw.decode("utf-8", "replace").lower())
 
+def among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
 
-def begins(word: str, sizes: tuple[int, ...], bits: int = START_BITS) -> list[int]:
-    """Hashes of the word's beginnings of some lengths."""
-    mask = (1 << bits) - 1
-    return [crc32(word[:n].encode()) & mask for n in sizes if len(word) >= n]
+
+_insults, _english = hashes(INSULTS), hashes(ENGLISH)
 
 
 class Tone:
     """The labellers of tone: fixed insults, and two lists of word beginnings learned from annotated texts of any language."""
 
-    def __init__(self, lists: dict[str, frozenset[int]]):
-        self.lists = lists
-        self.hits = Remembered(self.listed)
-
-    def listed(self, word: str) -> list[list[int]] | None:
-        out = [[h for h in begins(word, FAMILIES[f][0]) if h in self.lists[f]] for f in FAMILIES]
-        return out if any(out) else None
+    def __init__(self, lists: dict[str, list[int]]):
+        self.tables = {f: np.zeros(1 << START_BITS, dtype=bool) for f, ids in lists.items() if ids}
+        for f, table in self.tables.items():
+            table[lists[f]] = True
 
-    def votes(self, words: list[str]) -> list[int]:
+    def votes(self, raw: bytes) -> list[int]:
         """Insults: one is enough; without any they speak for English texts only.
 
-        List "once": two different words with a listed beginning; one says nothing. List "twice": two different words that share one.
+        List "once": two different words with a listed beginning, counted by beginning; one says nothing. List "twice": two different words that share one.
         """
-        distinct = set(words)
-        english = len([w for w in words if w in ENGLISH]) > 0.05 * len(words)
-        out = [BAD if not INSULTS.isdisjoint(distinct) else GOOD if english else ABSTAIN]
-        if not any(self.lists.values()):
-            return out + [ABSTAIN, ABSTAIN]
-        hits = [h for h in map(self.hits.__getitem__, distinct) if h]
-        once = sum(bool(h[0]) for h in hits)
-        twice = max(Counter(x for h in hits for x in h[1]).values(), default=0)
-        return out + [BAD if once > 1 else ABSTAIN, BAD if twice > 1 else GOOD]
+        words, first, size = words_of(raw)
+        english = len(words) and among(words, _english).mean() > 0.05
+        out = [BAD if len(words) and among(words, _insults).any() else GOOD if english else ABSTAIN]
+        for f, (sizes, least) in FAMILIES.items():
+            table = self.tables.get(f)
+            if table is None:
+                out.append(ABSTAIN)
+            elif not table[starts(first, size, sizes, START_BITS)].any():  # most texts
+                out.append(ABSTAIN if least == 1 else GOOD)
+            else:
+                at = np.unique(words, return_index=True)[1]
+                ids = starts(first[at], size[at], sizes, START_BITS)
+                found, times = np.unique(ids[table[ids]], return_counts=True)
+                out.append((BAD if len(found) > 2 else ABSTAIN) if least == 1 else BAD if times.max() >= least else GOOD)
+        return out
 
 
 def worst(labels: DataFrame) -> DataFrame:
@@ -149,51 +164,53 @@ def drawn(share: float, salt: str):
 STARTS = T.StructType([T.StructField("family", T.StringType()), T.StructField("start", T.LongType()), T.StructField("bad", T.LongType()), T.StructField("n", T.LongType())])
 
 
-def learn_starts(docs: DataFrame, labels: DataFrame | None, bound: int = TAUGHT) -> dict[str, frozenset[int]]:
+def learn_starts(docs: DataFrame, labels: DataFrame | None, bound: int = TAUGHT) -> dict[str, list[int]]:
     """Hashes of word beginnings that abusive texts have and others lack, by family, from about `bound` labelled rows.
 
     A beginning is listed if SEEN or more abusive texts have it, at a share TIMES that of the other texts; at
     most LISTED of a family. Texts of unsound form are left out. Without labels the lists are empty.
     """
     if labels is None:
-        return {f: frozenset() for f in FAMILIES}
+        return {f: [] for f in FAMILIES}
     told = worst(labels).where("toxic is not null and coalesce(quality, 1) <> 0").select("doc_id", "toxic")
     taught = told.where(drawn(bound / max(1, told.count()), "taught"))
 
-    def rows(part: Iterator[tuple], kept: dict[str, Remembered]) -> Iterator[tuple]:
-        n: dict[tuple[str, int], list[int]] = {}
+    def rows(part: Iterator[tuple]) -> Iterator[tuple]:
+        seen: dict[str, list[tuple[np.ndarray, int]]] = {f: [] for f in FAMILIES}
         for toxic, text in part:
-            distinct = set(words_of(text or b""))
-            for f, (_, least) in FAMILIES.items():
-                for h, times in Counter(chain.from_iterable(map(kept[f].__getitem__, distinct))).items():
-                    if times >= least:
-                        c = n.setdefault((f, h), [0, 0])
-                        c[0] += int(toxic)
-                        c[1] += 1
-        yield from ((f, h, *c) for (f, h), c in n.items())
+            words, first, size = words_of(text or b"")
+            at = np.unique(words, return_index=True)[1]
+            for f, (sizes, least) in FAMILIES.items():
+                ids, times = np.unique(starts(first[at], size[at], sizes, START_BITS), return_counts=True)
+                seen[f].append((ids[times >= least], int(toxic)))
+        for f, found in seen.items():
+            ids, place, n = np.unique(np.concatenate([i for i, _ in found]), return_inverse=True, return_counts=True)
+            bad = np.bincount(place, weights=np.repeat([t for _, t in found], [len(i) for i, _ in found]), minlength=len(ids)).astype(np.int64)
+            yield from zip([f] * len(ids), ids.tolist(), bad.tolist(), n.tolist(), strict=True)
 
     texts = docs.select("doc_id", "text").join(taught, "doc_id").select("toxic", "text")
-    counts = map_texts(texts, ["toxic"], rows, STARTS, setup=lambda: {f: Remembered(lambda w, n=sizes: begins(w, n)) for f, (sizes, _) in FAMILIES.items()}).groupBy("family", "start").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    counts = map_texts(texts, ["toxic"], rows, STARTS).groupBy("family", "start").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     sizes = taught.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.count("*").alias("n")).first()
     rate = ((F.col("bad") + 0.5) / (sizes["bad"] + 1.0)) / ((F.col("n") - F.col("bad") + 0.5) / (sizes["n"] - sizes["bad"] + 1.0))
     listed = counts.where(F.col("bad") >= SEEN).withColumn("rate", rate).where(F.col("rate") >= TIMES)
-    return {f: frozenset(r["start"] for r in listed.where(F.col("family") == f).orderBy(F.desc("rate"), "start").limit(LISTED).collect()) for f in FAMILIES}
+    best = listed.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("rate"), "start"))).where(F.col("place") <= LISTED).collect()
+    return {f: sorted(r["start"] for r in best if r["family"] == f) for f in FAMILIES}
 
 
 VOTES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("form", T.StringType()), T.StructField("tone", T.StringType())])
 LEARNING = T.StructType([*VOTES.fields, T.StructField("on", T.ArrayType(T.IntegerType()))])
 
 
-def voted(docs: DataFrame, labels: DataFrame | None, lists: dict[str, frozenset[int]], learning: bool = False) -> DataFrame:
+def voted(docs: DataFrame, labels: DataFrame | None, lists: dict[str, list[int]], learning: bool = False) -> DataFrame:
     """(doc_id, form, tone): one character a labeller; the annotators of `labels`, where given, are the last one. With `learning` also the text's features."""
 
     def rows(part: Iterator[tuple], kept: tuple[Tone, Features]) -> Iterator[tuple]:
         tone, known = kept
         for doc_id, text in part:
             raw = text or b""
-            words, form = words_of(raw), form_votes(describe(raw))
-            row = doc_id, "".join(map(str, form)), "".join(map(str, tone.votes(words)))
-            yield (*row, known.of(words, form).tolist()) if learning else row
+            form = form_votes(describe(raw))
+            row = doc_id, "".join(map(str, form)), "".join(map(str, tone.votes(raw)))
+            yield (*row, known.of(raw, form).tolist()) if learning else row
 
     out = map_texts(docs, ["doc_id"], rows, LEARNING if learning else VOTES, setup=lambda: (Tone(lists), Features()))
     said = lambda bad, good: F.when(bad, F.lit("1")).when(good, F.lit("2")).otherwise(F.lit("0"))
@@ -227,21 +244,23 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 60) -> tuple[dict[str,
 
 
 class Features:
-    """Hashed features: the first three to six letters of words, those that different words share once more, and the form labellers' votes."""
+    """Hashed features: the first three to seven bytes of words, those that different words share once more, and the form labellers' votes. Each kind has numbers of its own."""
 
     def __init__(self, bits: int = BITS):
-        self.mask = (1 << bits) - 1
-        self.starts = Remembered(lambda w: begins(w, (3, 4, 5, 6), bits))
-        self.shapes = [[crc32(f"_{k}={v}".encode()) & self.mask for v in range(3)] for k in range(8)]
+        self.bits, half = bits, 1 << bits - 1
+        self.votes = (1 << bits) + half
+        self.size = self.votes + 8 * 3
 
-    def of(self, words: list[str], form: list[int]) -> np.ndarray:
+    def of(self, raw: bytes, form: list[int]) -> np.ndarray:
         """Sorted distinct features of a text."""
-        starts = np.fromiter(chain.from_iterable(map(self.starts.__getitem__, set(words))), dtype=np.int64)
-        found, times = np.unique(starts, return_counts=True)
-        shared = (found[times > 1] * 40503 + 12345) & self.mask
-        return np.unique(np.concatenate((found, shared, [self.shapes[k][v] for k, v in enumerate(form)])).astype(np.int64))
+        words, first, size = words_of(raw)
+        at = np.unique(words, return_index=True)[1]
+        found, times = np.unique(starts(first[at], size[at], SIZES, self.bits), return_counts=True)
+        shared = np.unique(found[times > 1] >> 1) + (1 << self.bits)
+        return np.concatenate((found, shared, np.arange(8) * 3 + form + self.votes))
 
 
+WIDTH = Features().size
 Scorer = tuple[np.ndarray, float]
 
 
@@ -257,7 +276,7 @@ def cut_between(margins: np.ndarray, bad: np.ndarray) -> float:
     return float(m[0] - 1 if k == 0 else m[-1] + 1 if k == len(m) else (m[k - 1] + m[k]) / 2)
 
 
-def fit_scorer(rows: DataFrame, target: str, bits: int = BITS) -> Scorer:
+def fit_scorer(rows: DataFrame, target: str) -> Scorer:
     """Logistic regression on soft labels: each row counts as both classes, weighted by its posterior.
 
     A fifth of the rows, by hash, is held out; the intercept is set so that the cut that parts these best lies at one half.
@@ -266,7 +285,7 @@ def fit_scorer(rows: DataFrame, target: str, bits: int = BITS) -> Scorer:
     sides = F.array(F.struct(F.lit(1.0).alias("label"), F.col(target).alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col(target)).alias("w")))
     both = known.where("not held").select("features", F.explode(sides).alias("e")).select("features", "e.label", "e.w").where("w > 0.001")
     if len(both.groupBy("label").count().head(2)) < 2:
-        return np.zeros(1 << bits), -1.0
+        return np.zeros(WIDTH), -1.0
     model = LogisticRegression(weightCol="w", regParam=2e-4, maxIter=40, standardization=False, aggregationDepth=2).fit(both)
     margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
     held = model.transform(known.where("held")).select(margin, target).collect()  # two numbers a row, a fifth of the bounded sample
@@ -282,7 +301,7 @@ class Judge:
     tone: Scorer
 
     def verdict(self, known: Features, raw: bytes) -> tuple[float, float, bool]:
-        on = known.of(words_of(raw), form_votes(describe(raw)))
+        on = known.of(raw, form_votes(describe(raw)))
         bad = [float(1 / (1 + np.exp(-np.clip(w[on].sum() + b, -50, 50)))) for w, b in (self.form, self.tone)]
         return round(1 - bad[0], 6), round(bad[1], 6), bool(raw.strip()) and max(bad) < 0.5
 
@@ -300,13 +319,13 @@ def fit(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> Judg
     counts = voted(docs, labels, lists).select(aspects).groupBy("e.aspect", "e.votes").agg(F.count("*").alias("n")).collect()
     total = sum(r["n"] for r in counts) // 2
     if not total:
-        return Judge((np.zeros(1 << BITS), -1.0), (np.zeros(1 << BITS), -1.0))
+        return Judge((np.zeros(WIDTH), -1.0), (np.zeros(WIDTH), -1.0))
     believed = [(a, k, p) for a in ("form", "tone") for k, p in fit_labellers({r["votes"]: r["n"] for r in counts if r["aspect"] == a})[0].items() if k.strip("0")]
     posteriors = F.broadcast(spark.createDataFrame(believed, "aspect string, votes string, p double"))  # one row a combination of votes
     rows = voted(docs.where(drawn(sample / total, "sample")), labels, lists, learning=True)
     for a in ("form", "tone"):
         rows = rows.join(posteriors.where(F.col("aspect") == a).select(F.col("votes").alias(a), F.col("p").alias(f"p_{a}")), a, "left")
-    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(1 << BITS).alias("size"), F.col("on").alias("indices"), F.transform("on", lambda _: F.lit(1.0)).alias("values"))
+    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(WIDTH).alias("size"), F.col("on").alias("indices"), F.transform("on", lambda _: F.lit(1.0)).alias("values"))
     kept = rows.select(vector.alias("features"), F.col("p_form").alias("form"), F.col("p_tone").alias("tone"), drawn(0.2, "held").alias("held")).repartition(12)
     scratch.save(kept, "sample")
     train = scratch.read("sample", "form double, tone double, held boolean", features=VectorUDT())
