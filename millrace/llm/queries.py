@@ -76,6 +76,7 @@ QUERIES: dict[str, Query] = {
 }
 _WORDS = r"list_filter(string_split_regex(lower(text),'[^\p{L}\p{N}]+'), lambda x: x<>'')"
 _SHINGLES = "CASE WHEN len(w)>=5 THEN [array_to_string(w[i:i+4],' ') FOR i IN range(1,len(w)-3)] WHEN len(w)>0 THEN [array_to_string(w,' ')] ELSE [] END"
+_GRAMS = "list_concat(" * 4 + ", ".join([f"[array_to_string(w[i:i+{m - 1}],' ') FOR i IN range(1,greatest(1,len(w)-{m - 2}))]" + (")" if m > 1 else "") for m in range(1, 6)])
 
 ORACLES: dict[str, str] = {
     "op3_recompression_dedup": r"""
@@ -87,9 +88,9 @@ cut AS (SELECT word.*, max(g.s) OVER (PARTITION BY word.doc_id ORDER BY k ROWS B
 kept AS (SELECT doc_id, count(*) FILTER (hit) AS n_removed, string_agg(word,' ' ORDER BY k) FILTER (NOT hit) AS t FROM cut GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed,0) AS n_removed, sha256(coalesce(t,'')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
     "op8_minhash_containment": f"""
-WITH d AS (SELECT DISTINCT doc_id, md5(text) AS t, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, text, {_WORDS} AS w FROM documents WHERE text IS NOT NULL)),
-i AS (SELECT DISTINCT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL)),
-n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
+WITH d AS (SELECT DISTINCT doc_id, md5(text) AS t, unnest({_GRAMS}) AS s FROM (SELECT doc_id, text, {_WORDS} AS w FROM documents WHERE text IS NOT NULL)),
+i AS (SELECT DISTINCT item_id, x, unnest({_SHINGLES}) AS s FROM (SELECT item_id, md5(text) AS x, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL)),
+n AS (SELECT x, count(DISTINCT s) AS n_item FROM i GROUP BY x)
 SELECT doc_id, item_id, n_shared, n_item, round(CAST(n_shared AS DOUBLE)/n_item,6) AS containment
-FROM (SELECT doc_id, t, item_id, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY ALL) JOIN n USING (item_id) WHERE n_shared>=0.8::DOUBLE*n_item""",
+FROM (SELECT doc_id, t, item_id, x, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY ALL) JOIN n USING (x) WHERE n_shared>=0.8::DOUBLE*n_item""",
 }
