@@ -65,7 +65,7 @@ def text_tag(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) & 0x1FFFFF
 
 
-def packed(at: np.ndarray | int, tag: int, n: np.ndarray | int):
+def packed(at: np.ndarray, tag: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (tag << 42) | (at << 10) | n
 
 
@@ -81,25 +81,31 @@ def count_of(at: Column) -> Column:
     return at.bitwiseAND(F.lit(1023))
 
 
-def region_rows(docs: DataFrame, regions: Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """(anchor, region, k, at) of all regions; `regions` gives anchors, region hashes, starts and window counts of a text."""
+Regions = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+NO_REGIONS: Regions = (np.zeros(0, dtype=np.uint64),) * 2 + (np.zeros(0, dtype=np.int64),) * 2
+TOGETHER = 1 << 18  # bytes of texts that are taken together
+
+
+def window_starts(sizes: np.ndarray, bases: np.ndarray, length: int) -> np.ndarray:
+    """Places of all windows of `length` units of texts that lie one after the other from `bases` on."""
+    n = np.maximum(sizes - length + 1, 0)
+    return np.repeat(bases - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def region_rows(docs: DataFrame, regions: Callable[[list[bytes]], tuple[Regions, np.ndarray]]) -> DataFrame:
+    """(anchor, region, k, at) of all regions; `regions` gives anchors, region hashes, starts and window counts of some texts, and whose each is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = REGION.names
         for batch in batches:
-            parts: list[list[np.ndarray]] = []
-            held = 0
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-                raw = text.as_py()
-                anchor, region, start, n = regions(raw)
+            whole = batch.column(1).cast(pa.large_binary())
+            for at, n in parts(lengths(whole), 512, TOGETHER):
+                raw = whole.slice(at, n).to_pylist()
+                (anchor, region, start, many), owner = regions(raw)
                 if len(start):
-                    parts.append([anchor.view(np.int64), region.view(np.int64), np.full(len(start), k), packed(start, text_tag(raw), n)])
-                    held += len(start)
-                if held > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
-                    parts, held = [], 0
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
+                    k = np.array(batch.column(0).slice(at, n).to_pylist(), dtype=np.int64)[owner]
+                    tags = np.fromiter(map(text_tag, raw), dtype=np.int64, count=n)[owner]
+                    columns = (anchor.view(np.int64), region.view(np.int64), k, packed(start, tags, many))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=REGION.names)
 
     return docs.where("text is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "text").mapInArrow(run, REGION)
 
@@ -137,10 +143,12 @@ def map_packed(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]],
     return df.mapInArrow(run, schema)
 
 
-def listed(wanted: DataFrame, extra: list[str]) -> DataFrame:
-    """The wanted regions of each text as lists: bounded by the text itself."""
-    at = F.col("at")
-    return wanted.withColumn("t", tag_of(at)).groupBy("k", "t").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("at").alias("ats"), *[F.collect_list(c).alias(c) for c in extra])
+def opened_texts(docs: DataFrame, wanted: DataFrame, extra: list[str]) -> DataFrame:
+    """(k, t, z, anchors, ats, extra...): each text with wanted regions once, however many rows have it, and each region once. The lists are bounded by the text itself."""
+    fields = ["anchor", "at", *extra]
+    gathered = wanted.withColumn("t", tag_of(F.col("at"))).groupBy("k", "t").agg(F.collect_set(F.struct(*fields)).alias("r"))
+    lists = gathered.select("k", "t", *[F.col(f"r.{f}").alias(f if f in extra else f"{f}s") for f in fields])
+    return texts(docs).join(lists, ["k", "t"]).dropDuplicates(["k", "t"])
 
 
 def spans_of(full: DataFrame, length: int) -> DataFrame:
@@ -176,4 +184,4 @@ def runs_of(anchor_index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], edges)), np.concatenate((edges, [len(anchor_index)]))
 
 
-__all__ = ["NO_ID", "Rolling", "Scratch", "covered", "listed", "map_packed", "mix", "packed", "region_rows", "runs_of", "span", "spans_of", "texts", "unpack", "with_spans"]
+__all__ = ["NO_ID", "Rolling", "Scratch", "covered", "map_packed", "mix", "opened_texts", "packed", "region_rows", "runs_of", "span", "spans_of", "texts", "unpack", "window_starts", "with_spans"]

@@ -12,6 +12,7 @@ named by all words in that reach. What is shared is then settled by the frame in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -27,6 +28,7 @@ WINDOW = 50
 ROUNDS = 3
 PART = 1 << 19  # words looked at together
 REMEMBERED = 200_000
+BETWEEN = b" "  # no word
 
 
 class Vocabulary(dict):
@@ -111,30 +113,43 @@ def window_anchors(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], wind
     return level, chosen
 
 
-def regions(text: bytes, length: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, region hash, first window and number of windows of each region of a text."""
-    words = text.split()
+def regions(texts: list[bytes], length: int = WINDOW) -> tuple[repeats.Regions, np.ndarray]:
+    """Anchor hash, region hash, first window and number of windows of each region of some texts, and which text each is of.
+
+    The texts are taken together, with a word of its own between two; no window holds it, so symbols whose making saw it are no anchors.
+    """
+    words = [t.split() for t in texts]
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    bases = np.cumsum(sizes + 1) - sizes - 1
+    line = list(chain.from_iterable((*w, BETWEEN) for w in words))
     found: list[tuple[np.ndarray, ...]] = []
-    for at in range(0, max(1, len(words) - length + 1), PART):
-        part = words[at : at + PART + length - 1]
-        if len(part) >= length:
-            found.append(_regions_of(*_vocabulary.lookup(part), at, length))
+    starts = repeats.window_starts(sizes, bases, length)
+    for at in range(0, len(line), PART):
+        windows = starts[np.searchsorted(starts, at) : np.searchsorted(starts, at + PART)] - at
+        if len(windows):
+            one, two = _vocabulary.lookup(line[at : at + PART + length - 1])
+            begin, *rest = _regions_of(one, two, windows, length)
+            owner = np.searchsorted(bases, begin + at, side="right") - 1
+            found.append((*rest[:2], begin + at - bases[owner], rest[2], owner))
     if not found:
-        return (np.zeros(0, dtype=np.uint64),) * 2 + (np.zeros(0, dtype=np.int64),) * 2
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+        return repeats.NO_REGIONS, np.zeros(0, dtype=np.int64)
+    *out, owner = (np.concatenate(c) for c in zip(*found, strict=True))
+    return tuple(out), owner
 
 
-def _regions_of(one: np.ndarray, two: np.ndarray, at: int, length: int) -> tuple[np.ndarray, ...]:
+def _regions_of(one: np.ndarray, two: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """First window, anchor hash, region hash and number of windows of the regions of some windows."""
     levels = symbols(one)
-    level, chosen = window_anchors(levels, np.arange(len(one) - length + 1), length)
+    level, chosen = window_anchors(levels, windows, length)
     first, end = repeats.runs_of(chosen * len(levels) + level)
     lo, hi = np.zeros(len(first), dtype=np.int64), np.zeros(len(first), dtype=np.int64)
     for k, (_, left, right) in enumerate(levels):
         mine = level[first] == k
         lo[mine], hi[mine] = left[chosen[first[mine]]], right[chosen[first[mine]]]
+    begin = windows[first]
     anchor = mix(_anchors.ranges(_anchors.prefix(one), lo, hi) + level[first].astype(np.uint64))
-    region = mix(_regions.ranges(_regions.prefix(two), first, end - 1 + length) + (lo - first).astype(np.uint64))
-    return anchor, region, first + at, end - first
+    region = mix(_regions.ranges(_regions.prefix(two), begin, windows[end - 1] + length) + (lo - begin).astype(np.uint64))
+    return begin, anchor, region, end - first
 
 
 WINDOWS = T.StructType([T.StructField(n, T.LongType()) for n in ("anchor", "w", "k", "t", "s")])
@@ -149,7 +164,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, length: int = WINDOW) -> D
     met = scratch.save(rows.join(kinds.join(shared, "anchor").drop("last"), ["anchor", "region"]), "met")
     scratch.drop("regions")
     full = repeats.spans_of(met.where("first < k"), length)
-    wanted = repeats.listed(met.where("first = k and kinds > 1"), [])
+    wanted = repeats.opened_texts(docs, met.where("first = k and kinds > 1"), [])
 
     def windows(part: Iterator[dict]) -> Iterator[tuple]:
         for r in part:
@@ -161,7 +176,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, length: int = WINDOW) -> D
             h = _regions.ranges(prefix, s, s + length).view(np.int64)
             yield from zip(np.repeat(np.array(r["anchors"], dtype=np.int64), n).tolist(), h.tolist(), [r["k"]] * len(s), [r["t"]] * len(s), s.tolist(), strict=True)
 
-    opened = scratch.save(repeats.map_packed(repeats.texts(docs).join(wanted, ["k", "t"]), windows, WINDOWS, 64), "windows")
+    opened = scratch.save(repeats.map_packed(wanted, windows, WINDOWS, 64), "windows")
     first = opened.groupBy("anchor", "w").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last")
     later = opened.join(first, ["anchor", "w"]).where("first < k")
     return full.union(later.select("k", "t", repeats.span(F.col("s"), F.col("s") + length)))

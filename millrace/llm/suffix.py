@@ -52,22 +52,28 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return hashes, (least & low).astype(np.int64)
 
 
-def regions(text: bytes, length: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, region hash, first window and number of windows of each region of a text."""
+def regions(texts: list[bytes], length: int = WINDOW, gram: int = GRAM) -> tuple[repeats.Regions, np.ndarray]:
+    """Anchor hash, region hash, first window and number of windows of each region of some texts, and which text each is of."""
     found: list[tuple[np.ndarray, ...]] = []
-    whole = np.frombuffer(text, dtype=np.uint8)
-    for at in range(0, max(1, len(whole) - length + 1), PART):
+    whole = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    bases = np.cumsum(sizes) - sizes
+    starts = repeats.window_starts(sizes, bases, length)
+    for at in range(0, len(whole), PART):
         data = whole[at : at + PART + length - 1]
-        if len(data) >= length:
+        windows = starts[np.searchsorted(starts, at) : np.searchsorted(starts, at + PART)] - at
+        if len(windows):
             hashes, chosen = anchors(data, length, gram)
-            first, end = repeats.runs_of(chosen)
-            place = chosen[first]
+            owner = np.searchsorted(bases, windows + at, side="right") - 1
+            first, end = repeats.runs_of(chosen[windows] * len(texts) + owner)
+            place, begin, last = chosen[windows[first]], windows[first], windows[end - 1]
             prefix = _regions.prefix(_random[1][data])
-            region = mix(_regions.ranges(prefix, first, end - 1 + length) + (place - first).astype(np.uint64))
-            found.append((hashes[place], region, first + at, end - first))
+            region = mix(_regions.ranges(prefix, begin, last + length) + (place - begin).astype(np.uint64))
+            found.append((hashes[place], region, begin + at - bases[owner[first]], end - first, owner[first]))
     if not found:
-        return (np.zeros(0, dtype=np.uint64),) * 2 + (np.zeros(0, dtype=np.int64),) * 2
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+        return repeats.NO_REGIONS, np.zeros(0, dtype=np.int64)
+    *out, owner = (np.concatenate(c) for c in zip(*found, strict=True))
+    return tuple(out), owner
 
 
 def repeated_columns(groups: np.ndarray, bodies: list[bytes], offsets: np.ndarray, windows: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -172,14 +178,14 @@ def compare(opened: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(scratch: Scratch, docs: DataFrame, length: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(k, t, span): byte spans of docs whose windows also start elsewhere."""
-    rows = scratch.save(repeats.region_rows(docs, lambda text: regions(text, length, gram)), "regions")
+    rows = scratch.save(repeats.region_rows(docs, lambda texts: regions(texts, length, gram)), "regions")
     kinds = rows.groupBy("anchor", "region").agg(F.count("*").alias("times"), F.min(F.struct("k", "at")).alias("sample"))
     shared = kinds.groupBy("anchor").agg(F.sum("times").alias("total"), F.count("*").alias("kinds")).where("total > 1").select("anchor", "kinds")
     met = scratch.save(rows.join(kinds.join(shared, "anchor"), ["anchor", "region"]), "met")
     scratch.drop("regions")
     full = repeats.spans_of(met.where("times > 1"), length)
     samples = met.where("kinds > 1 and k = sample.k and at = sample.at").withColumn("hot", F.col("kinds") > hot)
-    wanted = repeats.listed(samples, ["hot"])
+    wanted = repeats.opened_texts(docs, samples, ["hot"])
 
     def opened_rows(part: Iterator[dict]) -> Iterator[tuple]:
         for r in part:
@@ -196,7 +202,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, length: int = WINDOW, gram
                     piece = data[start : start + n - 1 + length]
                     yield anchor, r["k"], r["t"], start, int(anchors(piece[:length], length, gram)[1][0]), n, None, piece.tobytes()
 
-    opened = scratch.save(repeats.map_packed(repeats.texts(docs).join(wanted, ["k", "t"]), opened_rows, OPENED, 32), "opened")
+    opened = scratch.save(repeats.map_packed(wanted, opened_rows, OPENED, 32), "opened")
     near = compare(opened.where("body is not null"), length)
     counted = opened.where("w is not null")
     twice = counted.groupBy("anchor", "w").agg(F.count("*").alias("c")).where("c > 1").drop("c")
