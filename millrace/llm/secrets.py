@@ -9,11 +9,12 @@ import json
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import map_texts
+from millrace.llm.common import lengths, map_texts, parts
 
 # The kinds, in the order that breaks ties between spans with one start.
 BASE = ("assign", "access", "hex")
@@ -22,9 +23,14 @@ KINDS = (*BASE, "jwt", "pem", "der", "ssh", "hexder")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: The first part decodes to something that begins with a brace and perhaps white space.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.DOTALL)
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Base64 over several lines of some width, without armour.
+WRAPPED = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{40,80})*\r?\n[A-Za-z0-9+/]{1,80}={0,2}(?![A-Za-z0-9+/=])")
+#: Where a key can begin in a run: at its start or after a separator.
+BEGINS = re.compile(r"(?:^|(?<=[/_+=-]))(?=M[A-Za-z0-9+/_-]{7}|AAAA|b3BlbnNza)")
 HEXBLOB = re.compile(r"[0-9a-fA-F]{64,}")
 NEEDED = re.compile(r"[A-Za-z0-9+/_-]{40}")
 NESTING = 12
@@ -90,6 +96,43 @@ def is_ssh_key(data: bytes | None) -> bool:
     return at == len(data) and len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]) is not None
 
 
+def der_total(head: bytes | None) -> int:
+    """The length that the header of an outer SEQUENCE announces, header included; 0 for no such header."""
+    if not head or len(head) < 6 or head[0] != 0x30:
+        return 0
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    if width > 4:
+        return 0
+    return 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+
+
+def key_in(run: str) -> tuple[int, str] | None:
+    """Where in a run of base64 a key begins that ends with it, and its kind. Lengths are looked at before anything long is decoded."""
+    joined = "".join(run.split())
+    size = len(joined.rstrip("="))
+    for m in BEGINS.finditer(joined):
+        left = size - m.start()
+        if joined[m.start()] == "M":
+            total = der_total(b64(joined[m.start() : m.start() + 8]))
+            if -(-total * 4 // 3) == left and is_der_key(b64(joined[m.start() :])):
+                return m.start(), "der"
+        else:
+            head = b64(joined[m.start() : m.start() + 40]) or b""
+            if (head.startswith(b"openssh-key") or re.match(rb"\0\0\0.(ssh|ecdsa|sk)-", head, re.DOTALL)) and is_ssh_key(b64(joined[m.start() :])):
+                return m.start(), "ssh"
+    return None
+
+
+def is_pem_body(body: str) -> bool:
+    """A key behind header lines, if any, and line breaks, written out or not; an encrypted one is known by its headers and whole blocks."""
+    lines = [x.strip() for x in body.replace("\\r", "").replace("\\n", "\n").split("\n")]
+    headers = [x for x in lines if ":" in x]
+    data = b64("".join(x for x in lines if ":" not in x))
+    if is_der_key(data) or is_ssh_key(data):
+        return True
+    return bool(data) and len(data) >= 16 and len(data) % 8 == 0 and any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in headers) and any(x.startswith("DEK-Info:") for x in headers)
+
+
 def is_jwt_header(part: str) -> bool:
     try:
         head = json.loads(b64(part) or b"")
@@ -109,17 +152,16 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    if "eyJ" in text:
+    if "ey" in text or "ew" in text:
         spans += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_jwt_header(m[1])]
     if "PRIVATE KEY-----" in text:
-        spans += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if is_der_key(d := b64(m[2])) or is_ssh_key(d)]
+        spans += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if is_pem_body(m[2])]
     if NEEDED.search(text):
-        for m in BLOB.finditer(text):
-            data = b64(m[0])
-            if is_der_key(data):
-                spans.append((m.start(), m.end(), "der"))
-            elif is_ssh_key(data):
-                spans.append((m.start(), m.end(), "ssh"))
+        taken = 0
+        for m in sorted((*BLOB.finditer(text), *WRAPPED.finditer(text)), key=lambda m: (m.start(), -m.end())):
+            if m.start() >= taken and (found := key_in(m[0])):
+                spans.append((m.start() + found[0], m.end(), found[1]))
+                taken = m.end()
         for m in HEXBLOB.finditer(text):
             if is_der_key(bytes.fromhex(m[0][: len(m[0]) & ~1])):
                 spans.append((m.start(), m.end(), "hexder"))
@@ -164,9 +206,15 @@ def redact(docs: DataFrame) -> DataFrame:
     Every row stays; rows without a finding stay as they are, null texts too.
     """
 
-    @F.pandas_udf("string")
-    def clean(text):
-        return text.map(redact_text, na_action="ignore")
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(place).cast(pa.large_binary())
+            for at, n in parts(lengths(raw)):
+                part = batch.slice(at, n)
+                clean = [None if t is None else redact_text(t) for t in part.column(place).to_pylist()]
+                yield part.set_column(place, part.schema.field(place), pa.array(clean, type=part.schema.field(place).type))
 
-    out = docs.withColumn("text", clean("text"))
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
