@@ -156,6 +156,13 @@ class Model:
             return None
         return self.weights[:, sorted(on)].sum(axis=1) + self.intercept
 
+    def noticed(self, words: list[str]) -> bool:
+        """Whether a line reads like part of a notice: three in ten of its word pairs, or the only word, are known."""
+        if self.heads.isdisjoint(words):
+            return len(words) == 1 and words[0] in self.vocabulary
+        known = sum(f"{a} {b}" in self.vocabulary for a, b in zip(words, words[1:], strict=False))
+        return known >= 0.3 * (len(words) - 1) and known > 0
+
     def predict(self, words: list[str]) -> tuple[str, float]:
         z = self.logits(words)
         if z is None:
@@ -217,26 +224,46 @@ FOUND = T.StructType(
 )
 
 
+def paragraphs(text: str, model: Model) -> Iterator[tuple[int, list[str]]]:
+    """(first line, words): lines that read like a notice and follow each other without a blank line are one paragraph, as wrapped notices are; every other line is one of its own. Comment marks are no words."""
+    held: tuple[int, list[str]] | None = None
+    for k, line in enumerate(text.split("\n")):
+        words = tokens(line)
+        if held and words and model.noticed(words):
+            held[1].extend(words)
+            continue
+        if held:
+            yield held
+            held = None
+        if words and model.noticed(words):
+            held = k, words
+        elif words:
+            yield k, words
+    if held:
+        yield held
+
+
 def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row for each paragraph (line) of docs (doc_id, text) that the classifier gives to a licence family.
+    """One row for each paragraph of docs (doc_id, text) that the classifier gives to a licence family.
 
-    Columns: doc_id, paragraph (0-based, blank lines counted), family, probability (calibrated),
+    Columns: doc_id, paragraph (its first line, from 0, blank lines counted), family, probability (calibrated),
     similarity to the family's nearest template, and confirmed (similarity of CONFIRMED or more).
     Paragraphs of the unknown class, and null and empty texts, give no row; repeated rows are scanned
-    each, and null ids kept; other columns are ignored. The unknown class is trained on at most `sample` paragraphs, the
-    smallest by hash. No shuffle but for that sample.
+    each, and null ids kept; other columns are ignored. The unknown class is trained on at most `sample`
+    lines (of 1 to 2,000 characters; a line of a text drawn by hash), the smallest by hash. No shuffle but for that sample.
     """
     spark = docs.sparkSession
     share = min(1.0, 2 * sample / max(1, docs.count()))  # else each task would send `sample` rows to be merged
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("paragraphs")), F.lit(1 << 30))
-    lines = docs.where("text is not null").select("doc_id", drawn.alias("d"), F.substring_index("text", "\n", 1).alias("p")).where(F.length("p").between(1, 2000))
-    background = [r["p"] for r in lines.where(F.col("d") < int(share * (1 << 30))).orderBy("d", "doc_id", "p").limit(sample).collect()]
+    texts = docs.where("text is not null").select("doc_id", drawn.alias("d"), "text").where(F.col("d") < int(share * (1 << 30)))
+    lines = texts.select("doc_id", "d", F.filter(F.split("text", "\n"), lambda x: F.length(x).between(1, 2000)).alias("ls")).where(F.size("ls") > 0)
+    line = lines.select("doc_id", "d", F.element_at("ls", (F.pmod(F.xxhash64("doc_id", F.lit("line")), F.size("ls")) + 1).cast("int")).alias("p"))
+    background = [r["p"] for r in line.orderBy("d", "doc_id", "p").limit(sample).collect()]
     model = spark.sparkContext.broadcast(train(spark, background))
 
     def rows(part: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in part:
-            for k, line in enumerate((text or b"").decode("utf-8", "replace").split("\n")):
-                words = tokens(line)
+            for k, words in paragraphs((text or b"").decode("utf-8", "replace"), model.value):
                 family, p = model.value.predict(words)
                 if family != UNKNOWN:
                     near = similarity(words, family)
