@@ -76,7 +76,7 @@ def bucket(cols: Sequence[str | Column], n: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
-def salted_rank(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int = 64) -> DataFrame:
+def salted_rank(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int) -> DataFrame:
     """Add `name`: 0-based rank of each row within `group`. No task holds a whole group.
 
     Rows are ranked within (group, hash bucket of the order columns); the buckets' counts, one row a

@@ -185,6 +185,10 @@ def plan(counts: dict[int, int], window: int = WINDOW, tiers: tuple[int, ...] =
     return out
 
 
+#: Pieces a bucket, where pieces of a length are ranked in buckets.
+RANKED = 200_000
+
+
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """Pack all rows of docs (doc_id, text) into sequences of at most `window` tokens: one row per piece.
 
@@ -212,5 +216,5 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", window: int = WINDOW,
         step = fields["tier_step"][at] + (sequence - fields["tier_sequence"][at]) // np.maximum(1, STEP_TOKENS // tier)
         return pd.DataFrame({"sequence_id": sequence, "offset": offset, "tier": tier, "step_group": step})
 
-    ranked = salted_rank(cut, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "rank")
+    ranked = salted_rank(cut, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "rank", max(64, sum(counts.values()) // RANKED))
     return ranked.withColumn("at", place("length", "rank")).select(*PIECES.names, "at.*")
