@@ -3,7 +3,10 @@ import random
 import struct
 import zlib
 
+from pyspark.sql import functions as F
+
 from millrace.llm import packing, secrets, sharding
+from millrace.llm.common import Scratch, bucket
 
 import corpus_pipeline
 
@@ -114,6 +117,50 @@ def test_sharding_laws(spark):
     assert sharding.shard(empty, 5).count() == 0
 
 
+def test_propagation_equals_plain_loops(spark):
+    """The rounds, replayed in plain Python with the same draws; and they cut fewer links than the start does."""
+    rng = random.Random(9)
+    shards, capacity, rounds = 5, 40, 3
+    units = {f"u{i:03d}": rng.choice([1, 1, 1, 2, 5]) for i in range(110)}
+    members = sorted({(u, rng.randrange(8) * 5 + rng.randrange(6)) for u in units for _ in range(3)})
+    udf, mdf = spark.createDataFrame(list(units.items()), "unit string, n long"), spark.createDataFrame(members, "unit string, key long")
+    scratch = Scratch(spark, "test")
+    got = sharding.propagate(scratch, udf, mdf, shards, capacity, rounds)
+    draws = {(r["unit"], k): r[f"d{k}"] for r in udf.select("unit", *[(F.pmod(F.xxhash64("unit", F.lit(k)), F.lit(1 << 20)) / float(1 << 20)).alias(f"d{k}") for k in range(1, rounds + 1)]).collect() for k in range(1, rounds + 1)}
+    start = udf.select("unit", "n", bucket(["unit"], shards).alias("label"))
+    label = {r["unit"]: r["label"] for r in start.collect()}
+    for k in range(1, rounds + 1):
+        load = [sum(n for u, n in units.items() if label[u] == s) for s in range(shards)]
+        free = [max(0, capacity - x) for x in load]
+        weight = {}
+        for u, key in members:
+            weight[key, label[u]] = weight.get((key, label[u]), 0) + units[u]
+        offer = {}
+        for (key, s), w in weight.items():
+            offer[key] = max(offer.get(key, (-1.0, 0, 0, 0)), (w * (0.05 + free[s] / capacity), -s, s, w))
+        ask = {}
+        for u, key in members:
+            ask[u] = max(ask.get(u, (-1, 0)), (offer[key][3], -offer[key][2]))
+        wants = {u: -a[1] for u, a in ask.items() if -a[1] != label[u]}
+        sums = [sum(units[u] for u, s in wants.items() if s == t) for t in range(shards)]
+        for u, s in wants.items():
+            if draws[u, k] < min(1.0, free[s] / sums[s]):
+                label[u] = s
+    assert {r["unit"]: r["label"] for r in got.collect()} == label
+    assert sharding.cut_share(mdf, got) < sharding.cut_share(mdf, start)
+
+
+def test_links_see_the_middle_of_texts(spark):
+    rng = random.Random(10)
+    words = [f"w{k}" for k in range(5000)]
+    passage = " ".join(rng.choices(words, k=60))
+    texts = [f"{' '.join(rng.choices(words, k=120))} {passage} {' '.join(rng.choices(words, k=120))}" for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None), (98, "four words are few")], "doc_id long, t string")
+    keys = {r["doc_id"]: set(r["k"] or ()) for r in df.select("doc_id", sharding.link_keys(F.coalesce("t", F.lit(""))).alias("k")).collect()}
+    assert keys[99] == keys[98] == set()
+    assert sum(bool(keys[i] & keys[j]) for i in range(40) for j in range(i)) >= 0.9 * 780
+
+
 def test_pipeline_stages_and_rows(spark):
     base = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{base}/documents.parquet")

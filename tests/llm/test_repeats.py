@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from millrace.llm import substring, suffix
+from millrace.llm import repeats, substring, suffix
 
 
 def corpus(seed, n=60):
@@ -115,11 +115,54 @@ def test_symbols_are_consistent():
 
 
 def test_long_texts_are_cut_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(substring, "PART", 64)
-    monkeypatch.setattr(suffix, "PART", 500)
-    for seed in (5,):
-        rows = rows_of(seed)[:30]
-        whole = [substring.regions((t or "").encode()) for _, t in rows]
-        assert all(int(r[3].sum()) == max(0, len((t or "").split()) - 49) for r, (_, t) in zip(whole, rows))
-        whole = [suffix.regions((t or "").encode()) for _, t in rows]
-        assert all(int(r[3].sum()) == max(0, len((t or "").encode()) - 399) for r, (_, t) in zip(whole, rows))
+    """Regions cover all windows once, and are the same for texts taken alone, together and in parts."""
+    texts = [(t or "").encode() for _, t in rows_of(5)[:30]]
+    for module, part, size, length in ((substring, 64, lambda t: len(t.split()), 50), (suffix, 500, len, 400)):
+        alone = [module.regions([t])[0] for t in texts]
+        assert all(int(r[3].sum()) == max(0, size(t) - length + 1) for r, t in zip(alone, texts))
+        together, owner = module.regions(texts)
+        for i, r in enumerate(alone):
+            assert all((a[owner == i] == b).all() for a, b in zip(together, r))
+        monkeypatch.setattr(module, "PART", part)
+        assert all(int(module.regions([t])[0][3].sum()) == max(0, size(t) - length + 1) for t in texts)
+
+
+def test_repeated_rows_are_opened_once(spark):
+    """200 equal rows, some without id: what is opened grows with the texts, not with the rows."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(300)]
+    base = rng.choices(words, k=300)
+    other = base[:150] + rng.choices(words, k=150)
+    rows = [(1, " ".join(base))] * 200 + [(2, " ".join(other))] + [(None, " ".join(other[:200]))] * 50 + [(3, " ".join(rng.choices(words, k=200)))]
+    df = frame(spark, rows)
+    got = sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffix.remove_repeats(df).collect()), key=str)
+    assert got == brute_bytes(rows)
+    got = sorted((tuple(r) for r in substring.remove_repeats(df).collect()), key=str)
+    assert got == brute_words(rows)
+    regions = spark.createDataFrame([(5, 1, 7), (5, 1, 7), (6, 1, 9)], "anchor long, k long, at long")
+    one = spark.createDataFrame([(1, "x")] * 40, "doc_id long, text string")
+    tag = repeats.text_tag(b"x")
+    wanted = regions.withColumn("at", regions["at"] + (tag << 42))
+    (row,) = repeats.opened_texts(one, wanted, []).collect()
+    assert sorted(row["anchors"]) == [5, 6]
+
+
+def test_passages_against_brute_force_over_many_partitions(spark, monkeypatch):
+    """Passages of 51 to 90 words, many copies, repeats inside a document; 211 partitions."""
+    rng = random.Random(8)
+    for n, parts in ((80, 7), (160, 211)):
+        words = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(800)]
+        passages = [rng.choices(words, k=rng.randrange(51, 91)) for _ in range(6)]
+        rows = []
+        for i in range(n):
+            t = rng.choices(words, k=rng.randrange(20, 200))
+            for _ in range(rng.randrange(3)):
+                at = rng.randrange(len(t))
+                t[at:at] = passages[min(5, int(rng.expovariate(0.8)))]
+            rows.append((i, " ".join(t + t[:90] if i % 9 == 0 else t)))
+        rows += [(n + i, rows[0][1]) for i in range(n // 3)]
+        df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, at int").repartition(parts)
+        got = sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffix.remove_repeats(df).collect()), key=str)
+        assert got == brute_bytes(rows)
+        got = sorted((tuple(r) for r in substring.remove_repeats(df).collect()), key=str)
+        assert got == brute_words(rows)

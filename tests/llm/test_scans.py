@@ -3,9 +3,11 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from millrace.llm import decontam, licenses, media, quality, secrets
 
@@ -47,6 +49,18 @@ def test_structure_confirms_or_rejects():
     head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
     assert "jwt" in kinds(f"{head}.eyJhIjoxfQ.c2ln") and "jwt" not in kinds("eyJub3BlIjoxfQ.eyJhIjoxfQ.c2ln")
     assert secrets.redact_text("a password=0123456789abcdef b") == "a [SECRET] b"
+    wrapped = "\n".join(good[i : i + 64] for i in range(0, len(good), 64))
+    for text in (f"key:\n{wrapped}\nend of it", f"path key/{good} x", f"my-{good}", f"a_{good}"):
+        (span,) = [s for s in secrets.find_spans(text) if s[2] == "der"]
+        assert "".join(text[span[0] : span[1]].split()) == good
+    assert not kinds("\n".join(bad[i : i + 64] for i in range(0, len(bad), 64))) & {"der", "ssh"}
+    escaped = "-----BEGIN PRIVATE KEY-----\\n" + wrapped.replace("\n", "\\n") + "\\n-----END PRIVATE KEY-----"
+    assert "pem" in kinds(escaped)
+    locked = base64.b64encode(bytes(64)).decode()
+    assert "pem" in kinds(f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{locked}\n-----END RSA PRIVATE KEY-----")
+    assert "pem" not in kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{locked}\n-----END RSA PRIVATE KEY-----")
+    spaced = base64.urlsafe_b64encode(b'{ "alg": "none"}').decode().rstrip("=")
+    assert "jwt" in kinds(f"{spaced}.eyJhIjoxfQ.") and "jwt" in kinds(base64.urlsafe_b64encode(b'{\n"alg":"HS256"}').decode().rstrip("=") + ".eyJhIjoxfQ.c2ln")
 
 
 def test_scan_rows(spark):
@@ -123,38 +137,44 @@ def test_decoder_on_longer_intervals_and_signs():
         assert media.thumbnail(frame, blocks).shape == (3, 4)
 
 
-def sets(text):
-    w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+def words_of(text):
+    return [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+
+
+def grams(w, m):
+    return {tuple(w[i : i + m]) for i in range(len(w) - m + 1)}
 
 
 def test_contamination_against_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     words = [f"w{k}" for k in range(200)]
-    items = [(i, " ".join(rng.choices(words, k=rng.choice([3, 5, 12, 40])))) for i in range(25)] + [(90, None), (91, "")]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([3, 4, 5, 12, 40])))) for i in range(25)] + [(90, None), (91, ""), (None, " ".join(rng.choices(words, k=20))), (None, "rare pair"), (7, "seven has another text here"), (92, "w1 w2 w3"), (93, " ".join(words[:4]))]
     docs = []
     for d in range(120):
         t = rng.choices(words, k=rng.choice([2, 30, 300]))
         if d % 3 == 0:
-            item = rng.choice(items[:25])[1].split(" ")
+            item = (rng.choice(items)[1] or "x").split(" ")
             for _ in range(rng.randrange(3)):
                 item[rng.randrange(len(item))] = "changed"
             at = rng.randrange(len(t))
             t = t[:at] + item + t[at:]
         docs.append((d // 2, ", ".join(t).upper() if d % 2 else " ".join(t)))
-    docs += [(500, None), (501, ""), (502, items[0][1]), (None, items[1][1]), (502, items[0][1])]
+    docs += [(500, None), (501, ""), (502, items[0][1]), (None, items[1][1]), (502, items[0][1]), (503, f"long text before {items[27][1]} {items[28][1]} and {items[29][1]} after " * 3)]
     want = set()
     for d, t in docs:
         for i, b in items:
-            s = sets(b)
-            if t and s and len(s & sets(t)) >= 0.8 * len(s):
-                want.add((d, i, len(s & sets(t)), len(s), t))
+            w = words_of(b)
+            s, have = grams(w, min(5, len(w))) if w else set(), grams(words_of(t), min(5, len(w)))
+            if t and s and len(s & have) >= 0.8 * len(s):
+                want.add((d, i, len(s & have), len(s), t, b))
+    assert {w[1] for w in want if w[0] == 503} >= {None, 7}
     df = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, item_id int")
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame([(i, b, 1, 2) for i, b in items + items[:3]], "item_id long, text string, n int, h int")
+    order = lambda r: tuple(-1 if x is None else x for x in r[:4])
     for limit in (200_000, 0):
         monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
         got = decontam.contamination(df, bench).collect()
-        assert sorted((r[0] or -1, r[1], r[2], r[3]) for r in got) == sorted((w[0] or -1, *w[1:4]) for w in want)
+        assert sorted(order(r) for r in got) == sorted(order(w) for w in want)
     leaky = {w[4] for w in want}
     clean = decontam.decontaminate(df, bench)
     assert sorted(str((r[0], r[1])) for r in clean.collect()) == sorted(str((d, t)) for d, t in docs if t not in leaky)
@@ -162,15 +182,20 @@ def test_contamination_against_brute_force(spark, monkeypatch):
     assert decontam.contamination(df, bench.limit(0)).count() == 0
 
 
-def test_quality_on_labels_and_edges(spark):
-    base = "/root/testdata/sf0.01"
+def test_quality_on_unseen_labels_and_edges(spark):
+    """Fitted with the labels of half the ids, judged on the others: recall of 0.9 for junk and abuse in every language."""
+    base = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
-    got = quality.classify(docs, labels).join(labels, "doc_id").collect()
-    junk, sound, toxic = ([r["keep"] for r in got if c(r)] for c in (lambda r: r["quality"] == 0, lambda r: r["quality"] == 1 and r["toxic"] == 0, lambda r: r["toxic"] == 1))
-    assert sum(junk) <= 0.02 * len(junk) and sum(sound) >= 0.98 * len(sound) and sum(toxic) <= 0.4 * len(toxic)
+    docs = docs.repartition(16)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    got = quality.classify(docs, labels.where(half == 0)).join(docs.select("doc_id", "lang"), "doc_id").join(labels.where(half == 1), "doc_id").collect()
+    for lang in ("en", "de", "fr", "es"):
+        mine = [r for r in got if r["lang"] == lang]
+        junk, sound, toxic = ([r["keep"] for r in mine if c(r)] for c in (lambda r: r["quality"] == 0, lambda r: r["quality"] == 1 and r["toxic"] == 0, lambda r: r["toxic"] == 1))
+        assert sum(junk) <= 0.1 * len(junk) and sum(sound) >= 0.9 * len(sound) and sum(toxic) <= 0.1 * len(toxic)
     odd = spark.createDataFrame([(1, None, 0), (1, "", 0), (None, "plain words here.", 0)], "doc_id long, text string, keep int")
     assert quality.classify(odd).count() == 3 and quality.classify(odd.limit(0)).count() == 0
-    assert quality.keep_sound(odd.limit(0), labels).count() == 0
+    assert quality.keep_sound(odd.limit(0), labels).count() == 0 and quality.keep_sound(odd, labels.limit(0)).columns == odd.columns
 
 
 def test_label_model_recovers_accuracies():
@@ -195,7 +220,35 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
-def test_license_classifier_held_out(spark):
-    data = licenses.examples([f"some plain words number {k} of the day" for k in range(300)], seed=99)
-    model = licenses.train(spark, [f"some plain words number {k} of the day" for k in range(300)])
-    assert sum(model.predict(w)[0] == f for f, w in data) > 0.9 * len(data)
+#: Notices as people word them, none of them a template.
+WORDINGS = [
+    ("mit", "This library is distributed under the terms of the MIT license, see the file LICENSE."),
+    ("mit", "MIT License. Copyright 2020 the authors. Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("mit", "The code here is released under the MIT License"),
+    ("apache-2.0", "This module is licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at the address below"),
+    ("apache-2.0", "Apache License, Version 2.0 applies to all parts of this work"),
+    ("gpl-3.0", "This program is free software: you can redistribute it under the terms of the GNU General Public License version 3"),
+    ("gpl-2.0", "it under the terms of the GNU General Public License, version 2 of the License"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that these conditions are met: neither the name of the copyright holder nor the names of its contributors"),
+    ("proprietary", "Copyright 2021 Some Company. All rights reserved. No part of this publication may be reproduced"),
+]
+
+
+def test_license_wordings_that_are_no_templates(spark):
+    """Recall of 0.9 on other wordings, and none of 300 plain lines taken for a notice."""
+    plain = [f"some plain words number {k} of the day and the people in it" for k in range(300)]
+    model = licenses.train(spark, plain)
+    found = [(f, model.predict(licenses.tokens(w))[0]) for f, w in WORDINGS if f in licenses.TEMPLATES]
+    assert len(found) >= 8 and sum(a == b for a, b in found) >= 0.9 * len(found), found
+    other = [f"a different line about {k} houses, the public and the terms of a release" for k in range(300)]
+    assert all(model.predict(licenses.tokens(t))[0] == licenses.UNKNOWN for t in other)
+
+
+def test_wrapped_notices_are_one_paragraph(spark):
+    notice = licenses.TEMPLATES["mit"][2]
+    wrapped = "\n".join("# " + x for x in textwrap.wrap(notice, 72))
+    text = f"A line of prose before it.\n{wrapped}\n\nAnother line.\nLicensed under the Apache License, Version 2.0.\nAnd the story went on in the city."
+    docs = spark.createDataFrame([(1, text, 0), (2, "prose only\n\nmore of it", 0)], "doc_id long, text string, paragraph int")
+    got = sorted((r["doc_id"], r["paragraph"], r["family"], r["confirmed"]) for r in licenses.scan(docs).collect())
+    assert got == [(1, 1, "mit", True), (1, 3 + len(wrapped.split("\n")), "apache-2.0", True)]
