@@ -1,51 +1,90 @@
 """Near-duplicate removal by Hamming distance over signatures.
 
-Candidates are always pairs of distinct signatures that share a band, so exact copies, however many,
+Candidates are always pairs of distinct signatures that share a key, so exact copies, however many,
 cost one row; multiplicities are joined back.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import bands, hamming, portable_hash
+from millrace.operators.running import null_safe
 from millrace.sources.scratch import cut
 
+#: Four bands find all pairs within three bits and most within four, as the greedy passes do; five find all within four.
 BANDS4 = (16, 16, 16, 16)
 BANDS5 = (13, 13, 13, 13, 12)
+#: Seven bands: two signatures within four bits agree in three of them or more.
+BANDS7 = (10, 9, 9, 9, 9, 9, 9)
+_SPACE = re.compile(b"[ \t\n\r]+")
+
+
+def signature(text: bytes, bits: int = 60) -> int:
+    """Bit majority over the distinct 3-word shingles' md5 prefixes; fewer words are one shingle, none give 0."""
+    w = [x for x in _SPACE.split(text) if x]
+    if not w:
+        return 0
+    grams = zip(w, w[1:], w[2:], strict=False) if len(w) >= 3 else [w]
+    md5, join = hashlib.md5, b" ".join
+    h = np.frombuffer(b"".join([md5(join(g)).digest()[:8] for g in grams]), dtype=">u8").astype(np.uint64)
+    h = np.unique(h >> np.uint64(64 - bits))
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def text_signature(docs: DataFrame, bits: int = 60) -> DataFrame:
-    """(doc_id, sig): bit majority over the distinct 3-word shingles' md5 prefixes, as a long."""
-    w = F.filter(F.split(F.lower("text"), "[ \t\n\r]+"), lambda x: x != "")
-    many = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.slice("w", i, 3)))
-    d = docs.select("doc_id", w.alias("w")).where(F.size("w") > 0)
-    s = d.select("doc_id", F.explode(F.array_distinct(F.when(F.size("w") >= 3, many).otherwise(F.array(F.concat_ws(" ", "w"))))).alias("s"))
-    h = s.select("doc_id", F.conv(F.substring(F.md5("s"), 1, 15), 16, 10).cast("long").alias("h"))
-    votes = h.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.sum(F.shiftright("h", k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in range(bits)])
-    total = F.lit(0).cast("long")
-    for k in range(bits):
-        total = total + F.when(F.col(f"b{k}") * 2 > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-    return votes.select("doc_id", total.alias("sig"))
-
-
-def near_signatures(sigs: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS4) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct signatures within k bits that share a band.
-
-    With four bands of 16 bits all pairs within three bits are found; with five bands (13, 13, 13, 13,
-    12) all within four. Skewed bands are left to adaptive execution.
+    """(doc_id, sig) of every row of docs (doc_id, text): `signature` of the lower-cased text as a long.
+
+    Texts without words, null ones too, have signature 0 and are copies of each other. One pass, no shuffle:
+    the md5 of a shingle, which the SQL engines share, is cheaper in Arrow batches than as string expressions.
     """
-    rows = sigs.select("sig").distinct().select("sig", F.explode(bands(F.col("sig"), widths)).alias("band"))
-    a, b = rows.select(F.col("sig").alias("a"), "band"), rows.select(F.col("sig").alias("b"), "band")
-    return a.join(b, "band").where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= k)).select("a", "b").distinct()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary())
+            sigs = np.fromiter((signature(t.as_py() or b"", bits) for t in texts), dtype=np.int64, count=len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs)], names=["doc_id", "sig"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).mapInArrow(run, "doc_id long, sig long")
+
+
+def near_keys(sig: Column, k: int, widths: tuple[int, ...]) -> Column:
+    """Keys of which two signatures within k bits share one: all choices of as many bands as k errors must leave whole."""
+    values = [F.get(bands(sig, widths), F.lit(i))["value"] for i in range(len(widths))]
+    keys = []
+    for no, chosen in enumerate(combinations(range(len(widths)), max(1, len(widths) - k))):
+        value = F.lit(no).cast("long")
+        for i in chosen:
+            value = F.shiftleft(value, widths[i]).bitwiseOR(values[i])
+        keys.append(value)
+    return F.array(*keys)
+
+
+def near_signatures(sigs: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS7) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct signatures within k bits that share a key (`near_keys`).
 
-def similar_pairs(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS4) -> DataFrame:
+    With more bands than k all pairs are found. By default a signature has 35 keys of 27 bits or more, so
+    10^9 signatures meet about ten others a key. Skewed keys are left to adaptive execution. With no more bands than k
+    (four bands of 16 bits) a key is one band, and some pairs at distance k are missed.
+    """
+    rows = sigs.select("sig").distinct().select("sig", F.explode(near_keys(F.col("sig"), k, widths)).alias("key"))
+    a, b = rows.select(F.col("sig").alias("a"), "key"), rows.select(F.col("sig").alias("b"), "key")
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= k)).select("a", "b").distinct()
+
+
+def similar_pairs(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS7) -> DataFrame:
     """(id_a, id_b, distance) between signatures' representatives, the smallest id of each."""
     first = rows.groupBy("sig").agg(F.min("doc_id").alias("id"))
     p = near_signatures(rows, k, widths)
@@ -53,7 +92,7 @@ def similar_pairs(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS4)
     return j.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), hamming(F.col("a"), F.col("b")).cast("int").alias("distance"))
 
 
-def keep_first(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS4) -> DataFrame:
+def keep_first(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS7) -> DataFrame:
     """rows with `kept`: false where a row with a smaller id lies within k bits (one hop, order-independent)."""
     first = rows.groupBy("sig").agg(F.min("doc_id").alias("id"))
     p = near_signatures(rows, k, widths)
@@ -63,7 +102,7 @@ def keep_first(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS4) ->
     return rows.join(low, "sig").withColumn("kept", F.col("doc_id") <= F.col("low")).drop("low")
 
 
-def pair_counts(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS4) -> DataFrame:
+def pair_counts(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS7) -> DataFrame:
     """(dataset_a, dataset_b, pairs) over unordered dataset pairs, from counts by signature and dataset."""
     n = rows.groupBy("sig", "dataset").agg(F.count("*").alias("n"))
     p = near_signatures(rows, k, widths)
@@ -73,9 +112,18 @@ def pair_counts(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS4) -
     return far.union(same).groupBy(F.least("da", "db").alias("dataset_a"), F.greatest("da", "db").alias("dataset_b")).agg(F.sum("c").alias("pairs")).where("pairs > 0")
 
 
-def drop_every_second(rows: DataFrame) -> DataFrame:
-    """rows with `kept`: of each run of equal signatures in id order, the 2nd, 4th, ... goes."""
-    return rows.withColumn("kept", F.row_number().over(Window.partitionBy("sig").orderBy("doc_id")) % 2 == 1)
+def drop_every_second(rows: DataFrame, ids: int = 1 << 16) -> DataFrame:
+    """rows with `kept`: of each run of equal signatures in id order, the 2nd, 4th, ... goes.
+
+    A signature's rows are ranked inside ranges of `ids` ids, after the counts of the ranges before, so a
+    hot signature is no task's alone. Rows of equal id are told apart by any order.
+    """
+    d = rows.withColumn("range of", F.floor(F.col("doc_id") / ids))
+    before = Window.partitionBy("sig").orderBy("range of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = d.groupBy("sig", "range of").agg(F.count("*").alias("n in")).select("sig", "range of", F.coalesce(F.sum("n in").over(before), F.lit(0)).alias("n before"))
+    ranked = d.withColumn("rank in", F.row_number().over(Window.partitionBy("sig", "range of").orderBy("doc_id")))
+    joined = null_safe(ranked, starts, ["sig", "range of"])
+    return joined.select(*rows.columns, ((F.col("n before") + F.col("rank in")) % 2 == 1).alias("kept"))
 
 
 def greedy_passes(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS4, limit: int = 4000) -> DataFrame:
@@ -83,7 +131,8 @@ def greedy_passes(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS4,
 
     Pass 0 drops every second exact copy. Then one pass a band: survivors are bucketed by the band, and
     in a bucket, in id order, a survivor drops the later rows within k bits. Buckets of one row or more than `limit` are
-    left alone, which bounds a task's group. Each pass ends in a checkpoint.
+    left alone, as in the removal that this reproduces: near copies that only such buckets hold stay. `keep_first` has no
+    such limit and finds every pair. Each pass ends in a checkpoint.
     """
     state = drop_every_second(rows.select("doc_id", "sig"))
     at = 0

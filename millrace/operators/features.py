@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import sanitized, signal_bucket
+from millrace.operators.running import exact_quantiles
 
 #: Verdicts.
 AI_VERDICTS = ("Strong AI likelihood", "Moderate AI likelihood", "Leaning AI, but the forensic cues are mixed")
@@ -34,8 +35,9 @@ def standardized(df: DataFrame, scaler: DataFrame, columns: list[str], clip: flo
 def described(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, n, mean, std, low, q1, q2, q3, high): sample deviation and exact quartiles."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in columns])).alias("e")).select("e.*")
-    q = lambda p: F.round(F.percentile("v", F.lit(p)), 6)
-    return long.groupBy("feature").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("low"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max("v").alias("high"))
+    out = long.groupBy("feature").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("low"), F.max("v").alias("high"))
+    quartiles = exact_quantiles(long, ["feature"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    return out.join(quartiles, "feature", "left").select("feature", "n", "mean", "std", "low", *[F.round(q, 6).alias(q) for q in ("q1", "q2", "q3")], "high")
 
 
 def class_histograms(df: DataFrame, columns: list[str], bins: int) -> DataFrame:

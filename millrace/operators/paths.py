@@ -73,3 +73,9 @@ def resize_plan(sizes: DataFrame) -> DataFrame:
     scaled = lambda s: F.greatest(F.lit(CROP), F.bround(F.col(s) * (F.lit(float(CROP)) / F.least("w", "h"))).cast("long"))
     r = sizes.select("uid", scaled("w").alias("new_w"), scaled("h").alias("new_h"))
     return r.select("*", F.expr(f"(new_w - {CROP}) div 2").alias("left"), F.expr(f"(new_h - {CROP}) div 2").alias("top"))
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """(dataset, files, bytes, gb, mb_per_s) of files (dataset, bytes, seconds)."""
+    mb = F.sum("bytes") / 1e6
+    return files.groupBy("dataset").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.round(F.sum("bytes") / 1e9, 9).alias("gb"), F.round(F.try_divide(mb, F.sum("seconds")), 6).alias("mb_per_s"))

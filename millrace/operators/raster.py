@@ -75,6 +75,10 @@ def residual(tiles: DataFrame, taps: list[tuple[int, int, float]]) -> DataFrame:
     return tiles.withColumn("s", filtered(F.col("v"), normalized(taps))).select("img", F.zip_with("v", "s", lambda a, b: a - b).alias("v"))
 
 
+def blurred(tiles: DataFrame, taps: list[tuple[int, int, float]]) -> DataFrame:
+    return tiles.select("img", filtered(F.col("v"), normalized(taps)).alias("v"))
+
+
 def moments(tiles: DataFrame) -> DataFrame:
     v = F.col("v")
     return tiles.select("img", F.round(mean(v), 6).alias("mean"), F.round(deviation(v), 6).alias("std"), F.round(energy(v), 6).alias("energy"))
@@ -109,27 +113,31 @@ def spectrum(tiles: DataFrame, side: int = SIDE) -> DataFrame:
 
 
 def cooccurrence(tiles: DataFrame, levels: int = 64, side: int = SIDE) -> DataFrame:
-    """Grey-level co-occurrence at distance 1: contrast, energy, homogeneity and correlation, averaged over four angles."""
+    """Grey-level co-occurrence at distance 1: contrast, energy, homogeneity and correlation, averaged over four angles.
+
+    A row's pairs are counted in the row: sums over pairs need no counts, and the energy is the sum over pairs of how many are equal to them.
+    """
     step = 256 // levels
-    pairs = []
+    g = F.transform("v", lambda x: F.floor(x / step).cast("int"))
+    t = tiles.select("img", g.alias("g"))
     for angle, (dy, dx) in ANGLES.items():
-        for y in range(side):
-            for x in range(side):
-                if 0 <= y + dy < side and 0 <= x + dx < side:
-                    pairs.append(F.struct(F.lit(angle).alias("angle"), F.lit(y * side + x).alias("p"), F.lit((y + dy) * side + x + dx).alias("q")))
-    q = tiles.select("img", F.transform("v", lambda x: F.floor(x / step)).alias("g"), F.explode(F.array(*pairs)).alias("e"))
-    one = q.select("img", "e.angle", F.get("g", F.col("e.p")).alias("i"), F.get("g", F.col("e.q")).alias("j"))
-    both = one.union(one.select("img", "angle", "j", "i")).groupBy("img", "angle", "i", "j").agg(F.count("*").alias("n"))
-    d = F.col("i") - F.col("j")
-    total = F.sum("n")
-    mu = F.sum(F.col("n") * F.col("i")) / total
-    var = F.sum(F.col("n") * F.col("i") * F.col("i")) / total - mu * mu
-    cov = F.sum(F.col("n") * F.col("i") * F.col("j")) / total - mu * mu
-    per = both.groupBy("img", "angle").agg(
-        (F.sum(F.col("n") * d * d) / total).alias("contrast"), (F.sqrt(F.sum(F.col("n") * F.col("n"))) / total).alias("energy"),
-        (F.sum(F.col("n") / (1 + d * d)) / total).alias("homogeneity"), F.when(var < 1e-15, F.lit(1.0)).otherwise(cov / var).alias("correlation"),
-    )
-    return per.groupBy("img").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("contrast", "energy", "homogeneity", "correlation")])
+        places = [(y * side + x, (y + dy) * side + x + dx) for y in range(side) for x in range(side) if 0 <= y + dy < side and 0 <= x + dx < side]
+        index = F.array(*[F.lit(p * side * side + q) for a, b in places for p, q in ((a, b), (b, a))])
+        n = side * side
+        t = t.withColumn(f"c{angle}", F.array_sort(F.transform(index, lambda i: F.get("g", F.floor(i / n).cast("int")) * levels + F.get("g", (i % n).cast("int")))))
+    found = []
+    for angle in ANGLES:
+        c, size = F.col(f"c{angle}"), F.size(f"c{angle}").cast("double")
+        total = lambda f, c=c: F.aggregate(c, F.lit(0.0), lambda a, x: a + f(F.floor(x / levels).cast("double"), (x % levels).cast("double")))
+        runs = F.aggregate(c, F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum")), lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"], a["run"] + 1).otherwise(1).cast("long").alias("run"), (a["sum"] + F.when(x == a["last"], 2 * a["run"] + 1).otherwise(1)).cast("long").alias("sum")))
+        mu = total(lambda i, j: i) / size
+        var, cov = total(lambda i, j: i * i) / size - mu * mu, total(lambda i, j: i * j) / size - mu * mu
+        found.append(F.struct(
+            (total(lambda i, j: (i - j) * (i - j)) / size).alias("contrast"), (F.sqrt(runs["sum"].cast("double")) / size).alias("energy"),
+            (total(lambda i, j: 1 / (1 + (i - j) * (i - j))) / size).alias("homogeneity"), F.when(var < 1e-15, F.lit(1.0)).otherwise(cov / var).alias("correlation"),
+        ))
+    names = ("contrast", "energy", "homogeneity", "correlation")
+    return t.select("img", F.array(*found).alias("f")).select("img", *[F.round(F.aggregate(F.col(f"f.{c}"), F.lit(0.0), lambda a, x: a + x) / len(ANGLES), 6).alias(c) for c in names])
 
 
 def palette(tiles: DataFrame, codes: int = 8) -> DataFrame:
@@ -176,3 +184,26 @@ def chroma(pixels: DataFrame) -> DataFrame:
     p = pixels.select("img", f((r * 0.412453 + g * 0.357580 + b * 0.180423) / 0.950456).alias("fx"), f(r * 0.212671 + g * 0.715160 + b * 0.072169).alias("fy"), f((r * 0.019334 + g * 0.119193 + b * 0.950227) / 1.088754).alias("fz"))
     c = p.select("img", (F.sqrt(F.pow((F.col("fx") - F.col("fy")) * 500, F.lit(2.0)) + F.pow((F.col("fy") - F.col("fz")) * 200, F.lit(2.0))) / 181.0).alias("c"))
     return c.groupBy("img").agg(F.round(F.avg("c"), 6).alias("chroma_mean"), F.round(F.stddev_pop("c"), 6).alias("chroma_std"), F.round(F.percentile("c", F.lit(0.9)), 6).alias("chroma_p90"))
+
+
+def channel_stats(pixels: DataFrame) -> DataFrame:
+    """(img, mean and deviation of each channel, brightness) of pixel rows (img, y, x, r, g, b), in units of 255."""
+    unit = lambda c: F.col(c) / 255.0
+    means, deviations = ([F.round(f(unit(c)), 6).alias(f"{n}_{c}") for c in "rgb"] for n, f in (("mean", F.avg), ("std", F.stddev_pop)))
+    return pixels.groupBy("img").agg(*means, *deviations, F.round(F.avg((unit("r") + unit("g") + unit("b")) / 3), 6).alias("brightness"))
+
+
+def colours(pixels: DataFrame, width: int = 64) -> DataFrame:
+    """(img, palette_entropy, dominant_r, dominant_g, dominant_b, hue_std): bits of a fixed grid of colours, the middle of its commonest cell, the deviation of the hue (0 to 1) of pixels that have one."""
+    side = 256 // width
+    cell = sum((F.floor(F.col(c) / width) * side**k for k, c in enumerate("bgr")), F.lit(0))
+    counts = pixels.groupBy("img", cell.alias("code")).agg(F.count("*").alias("n"))
+    total = F.sum("n")
+    entropy = F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total
+    palettes = counts.groupBy("img").agg(F.round(entropy, 6).alias("palette_entropy"), F.min_by("code", F.struct(-F.col("n"), F.col("code"))).alias("code"))
+    middle = lambda k: (F.expr(f"code div {side**k} % {side}") * width + width // 2).cast("double")
+    most, least = F.greatest("r", "g", "b"), F.least("r", "g", "b")
+    span = most - least
+    turn = F.when(most == F.col("r"), F.pmod((F.col("g") - F.col("b")) / span, F.lit(6.0))).when(most == F.col("g"), (F.col("b") - F.col("r")) / span + 2).otherwise((F.col("r") - F.col("g")) / span + 4)
+    hues = pixels.groupBy("img").agg(F.round(F.coalesce(F.stddev_pop(F.when(span > 0, turn / 6)), F.lit(0.0)), 6).alias("hue_std"))
+    return palettes.join(hues, "img").select("img", "palette_entropy", middle(2).alias("dominant_r"), middle(1).alias("dominant_g"), middle(0).alias("dominant_b"), "hue_std")

@@ -1,15 +1,16 @@
 """Score analytics: confusion counts, threshold metrics, ranking metrics and calibration, all native.
 
-Ranking metrics first reduce the scores to a histogram by distinct score, so no window ever runs over
-raw rows; windows are partitioned by key.
+Ranking metrics reduce the scores to a histogram by distinct score; running sums over it are taken inside
+ranges of the score (`running`), so neither the rows nor the distinct scores of one model land in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import share
+from millrace.operators.running import exact_quantiles, null_safe, running_sums, score_range
 
 METRICS = ["accuracy", "balanced_accuracy", "precision_ai", "recall_ai", "f1_ai", "precision_real", "recall_real", "f1_real", "f1_macro", "mcc", "fpr", "fnr"]
 
@@ -49,9 +50,7 @@ def histogram(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def cumulative(hist: DataFrame, keys: list[str]) -> DataFrame:
     """tp, fp at each distinct score as threshold, and the totals n_pos, n_neg."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    return hist.select("*", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("n_pos"), F.sum("neg").over(whole).alias("n_neg"))
+    return running_sums(hist, keys, "p", {"pos": "tp", "neg": "fp"}, {"pos": "n_pos", "neg": "n_neg"}, score_range(F.col("p")), descending=True)
 
 
 def roc_auc(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,28 +118,29 @@ def calibration(df: DataFrame, keys: list[str], bins: int, least: int = 1, close
 def per_group_auc(df: DataFrame, keys: list[str], least: int = 20) -> DataFrame:
     """AUC and AP of each group of positives against all negatives of its key.
 
-    The negatives are reduced once to a histogram and joined to each group's scores; they are not copied
-    to every group's rows. Groups, and keys, with fewer than `least` rows give nothing.
+    Negatives matter only by how many lie at or above each positive score: one running sum by key, looked
+    up by score, so they are never copied to the groups. Groups, and keys, with fewer than `least` rows give nothing.
     """
-    hist = df.groupBy(*keys, "generator", "p", "y").agg(F.count("*").alias("n"))
-    neg = hist.where("y = 0").groupBy(*keys, "p").agg(F.sum("n").alias("neg"))
-    sizes = hist.where("y = 1").groupBy(*keys, "generator").agg(F.sum("n").alias("n_fake"))
-    reals = neg.groupBy(*keys).agg(F.sum("neg").alias("n_real")).where(F.col("n_real") >= least)
-    groups = sizes.where(F.col("n_fake") >= least).join(reals, keys)
-    pos = hist.where("y = 1").select(*keys, "generator", "p", F.col("n").alias("pos"))
-    both = pos.withColumn("neg", F.lit(0)).unionByName(groups.select(*keys, "generator").join(neg, keys).withColumn("pos", F.lit(0)))
-    table = both.groupBy(*keys, "generator", "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    c = cumulative(table, [*keys, "generator"])
-    won = F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + F.col("pos") * F.col("neg") / 2.0)
+    above = cumulative(histogram(df, keys), keys).where("pos > 0").select(*keys, "p", F.col("neg").alias("ties"), "fp", "n_neg")
+    own = df.where("y = 1").groupBy(*keys, "generator", "p").agg(F.count("*").alias("pos"))
+    own = running_sums(own, [*keys, "generator"], "p", {"pos": "tp"}, {"pos": "n_fake"}, score_range(F.col("p")), descending=True)
+    both = null_safe(own, above, [*keys, "p"]).where((F.col("n_fake") >= least) & (F.col("n_neg") >= least))
+    won = F.sum(F.col("pos") * (F.col("n_neg") - F.col("fp") + F.col("ties") / 2.0))
     steps = F.sum(F.col("pos") * share(F.col("tp"), F.col("tp") + F.col("fp")))
-    P, N = F.first("n_pos").cast("double"), F.first("n_neg").cast("double")
-    out = c.groupBy(*keys, "generator").agg(F.round(F.try_divide(won, P * N), 6).alias("auc"), F.round(F.try_divide(steps, P), 6).alias("ap"))
-    return out.join(groups.select(*keys, "generator", "n_fake"), [*keys, "generator"])
+    P, N = F.first("n_fake").cast("double"), F.first("n_neg").cast("double")
+    return both.groupBy(*keys, "generator").agg(F.round(won / (P * N), 6).alias("auc"), F.round(steps / P, 6).alias("ap"), F.first("n_fake").alias("n_fake"))
 
 
 def probability_summary(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Count, mean, population deviation, median, extremes and share above one half; 0 where there is none."""
+    """Count, mean, population deviation, median (exact), extremes and share above one half; 0 where there is none."""
     z = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
-    return df.groupBy(*keys).agg(
-        F.count("p").alias("n"), z(F.avg("p")).alias("mean"), z(F.stddev_pop("p")).alias("std"), z(F.median("p")).alias("median"), z(F.min("p")).alias("low"), z(F.max("p")).alias("high"), z(F.avg((F.col("p") > 0.5).cast("double"))).alias("share_ai")
-    )
+    out = df.groupBy(*keys).agg(F.count("p").alias("n"), z(F.avg("p")).alias("mean"), z(F.stddev_pop("p")).alias("std"), z(F.min("p")).alias("low"), z(F.max("p")).alias("high"), z(F.avg((F.col("p") > 0.5).cast("double"))).alias("share_ai"))
+    return with_quantiles(out, exact_quantiles(df, keys, "p", {"median": 0.5}), keys, ["median"], z)
+
+
+def with_quantiles(out: DataFrame, found: DataFrame, keys: list[str], names: list[str], shown) -> DataFrame:
+    """out and the quantiles of its groups, as `shown` makes them; groups without values have nulls before that."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"q.{k}"))
+    return out.alias("o").join(found.alias("q"), same, "left").select("o.*", *[shown(F.col(f"q.{n}")).alias(n) for n in names])

@@ -80,6 +80,13 @@ def tiles(spark: SparkSession, d: str) -> DataFrame:
     return p.select("img", "label", F.expr("k div 8").cast("int").alias("y"), (F.col("k") % 8).cast("int").alias("x"), v.alias("v"))
 
 
+def rgb_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """8 x 8 colour tiles as pixel rows (img, y, x, r, g, b): three grey tiles in a row make one."""
+    of = lambda k, n: F.max(F.when(F.col("img") % 3 == k, F.col("v"))).alias(n)
+    t = tiles(spark, d).groupBy(F.expr("img div 3").alias("i"), "y", "x").agg(of(0, "r"), of(1, "g"), of(2, "b"), F.count("*").alias("n"))
+    return t.where("n = 3").select(F.col("i").alias("img"), "y", "x", "r", "g", "b")
+
+
 def sizes(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("uid"), (F.col("p_size") * 16).cast("long").alias("w"), (F.col("p_partkey") * 37 % 512 + 64).cast("long").alias("h"))
 
@@ -111,6 +118,8 @@ CTE = {
         CASE page_id%4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.gif' ELSE '.txt' END AS path, CAST(length(html) AS BIGINT) AS bytes FROM pages""",
     "tiles": """SELECT vec_id AS img, label, CAST((k-1)//8 AS INT) AS y, CAST((k-1)%8 AS INT) AS x, CAST(greatest(0,least(255,floor(CAST(embedding[k] AS DOUBLE)*512+128.5::DOUBLE))) AS INT) AS v
         FROM embeddings, range(1,65) r(k)""",
+    "rgb": "SELECT img//3 AS img, y, x, max(v) FILTER (img%3=0) AS r, max(v) FILTER (img%3=1) AS g, max(v) FILTER (img%3=2) AS b FROM raw GROUP BY ALL HAVING count(*)=3",
+    "grey": "SELECT img, y, x, CAST((299*r+587*g+114*b+500)//1000 AS INT) AS v FROM rgb",
     "sizes": "SELECT 'part/'||p_partkey AS uid, CAST(p_size*16 AS BIGINT) AS w, CAST(p_partkey*37%512+64 AS BIGINT) AS h FROM part",
 }
 
@@ -121,4 +130,4 @@ def sql(body: str, *names: str, **more: str) -> str:
     return f"WITH {', '.join(tables)} {body}" if tables else body
 
 
-__all__ = ["CTE", "FEATURES", "corpus", "features", "hash_sql", "history", "paths", "portable_hash", "read", "runs", "scores", "sizes", "sql", "tiles"]
+__all__ = ["CTE", "FEATURES", "corpus", "features", "hash_sql", "history", "paths", "portable_hash", "read", "rgb_tiles", "runs", "scores", "sizes", "sql", "tiles"]

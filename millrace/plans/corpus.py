@@ -29,16 +29,11 @@ def query(name: str, oracle: str | None = None):
 SHINGLES = """SELECT DISTINCT doc_id, unnest(CASE WHEN len(w)>=3 THEN [w[i]||' '||w[i+1]||' '||w[i+2] FOR i IN range(1,len(w)-1)] ELSE [array_to_string(w,' ')] END) AS s
  FROM (SELECT doc_id, list_filter(string_split_regex(lower(text),'[ \\t\\n\\r]+'), lambda x: x<>'') AS w FROM documents) WHERE len(w)>0"""
 HASHED = "SELECT doc_id, CAST('0x'||substr(md5(s),1,15) AS BIGINT) AS h FROM shingles"
-SIGNED = "SELECT doc_id, " + "+".join(f"CASE WHEN sum((h>>{k})&1)*2>count(*) THEN {1 << k} ELSE 0 END::BIGINT" for k in range(60)) + " AS sig FROM hashed GROUP BY doc_id"
+SIGNED = "SELECT doc_id, " + "+".join(f"CASE WHEN sum((h>>{k})&1)*2>count(*) THEN {1 << k} ELSE 0 END::BIGINT" for k in range(60)) + " AS sig FROM hashed GROUP BY doc_id UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM shingles)"
 SIGS = dict(shingles=SHINGLES, hashed=HASHED, sigs=SIGNED)
 
 
-def near(widths: tuple[int, ...]) -> str:
-    at, tests = 0, []
-    for w in widths:
-        tests.append(f"((a.sig>>{at})&{(1 << w) - 1})=((b.sig>>{at})&{(1 << w) - 1})")
-        at += w
-    return f"bit_count(xor(a.sig,b.sig))<=4 AND ({' OR '.join(tests)})"
+NEAR = "bit_count(xor(a.sig,b.sig))<=4"
 
 
 def signatures(spark: SparkSession, d: str) -> DataFrame:
@@ -60,11 +55,11 @@ def p23(spark, d):
     return s.select("doc_id", C.hamming(F.col("sig"), F.lit((1 << 60) - 1)).cast("int").alias("zeros"), *[F.get("b", F.lit(k))["value"].alias(f"b{k}") for k in range(4)])
 
 
-PAIRS = "SELECT least(x.id,y.id) AS id_a, greatest(x.id,y.id) AS id_b, CAST(bit_count(xor(a.sig,b.sig)) AS INT) AS distance FROM f a JOIN f b ON a.sig<b.sig AND {near} JOIN f x ON x.sig=a.sig JOIN f y ON y.sig=b.sig"
+PAIRS = f"SELECT least(x.id,y.id) AS id_a, greatest(x.id,y.id) AS id_b, CAST(bit_count(xor(a.sig,b.sig)) AS INT) AS distance FROM f a JOIN f b ON a.sig<b.sig AND {NEAR} JOIN f x ON x.sig=a.sig JOIN f y ON y.sig=b.sig"
 FIRST = "SELECT sig, min(doc_id) AS id FROM sigs GROUP BY sig"
 
 
-@query("j07_similar_pairs", sql(PAIRS.format(near=near(D.BANDS4)), **SIGS, f=FIRST))
+@query("j07_similar_pairs", sql(PAIRS, **SIGS, f=FIRST))
 def j07(spark, d):
     return D.similar_pairs(signatures(spark, d))
 
@@ -78,12 +73,12 @@ def kept_sql(n: str) -> str:
     return f"SELECT b.doc_id, b.sig, NOT EXISTS (SELECT 1 FROM sigs a WHERE a.doc_id<b.doc_id AND {n}) AS kept FROM sigs b"
 
 
-@query("c02_keep_first", sql("SELECT doc_id, kept FROM k", **SIGS, k=kept_sql(near(D.BANDS4))))
+@query("c02_keep_first", sql("SELECT doc_id, kept FROM k", **SIGS, k=kept_sql(NEAR)))
 def c02(spark, d):
     return D.keep_first(signatures(spark, d)).select("doc_id", "kept")
 
 
-@query("c03_full_recall", sql("SELECT doc_id, kept FROM k", **SIGS, k=kept_sql("bit_count(xor(a.sig,b.sig))<=4")))
+@query("c03_full_recall", sql("SELECT doc_id, kept FROM k", **SIGS, k=kept_sql(NEAR)))
 def c03(spark, d):
     return D.keep_first(signatures(spark, d), widths=D.BANDS5).select("doc_id", "kept")
 
@@ -93,7 +88,7 @@ def c01(spark, d):
     return D.greedy_passes(signatures(spark, d)).select("doc_id", "kept")
 
 
-DATASETS = f"SELECT least(x.dataset,y.dataset) AS dataset_a, greatest(x.dataset,y.dataset) AS dataset_b, count(*) AS pairs FROM sigs a JOIN sigs b ON a.doc_id<b.doc_id AND {near(D.BANDS4)} JOIN corpus x ON x.doc_id=a.doc_id JOIN corpus y ON y.doc_id=b.doc_id GROUP BY ALL"
+DATASETS = f"SELECT least(x.dataset,y.dataset) AS dataset_a, greatest(x.dataset,y.dataset) AS dataset_b, count(*) AS pairs FROM sigs a JOIN sigs b ON a.doc_id<b.doc_id AND {NEAR} JOIN corpus x ON x.doc_id=a.doc_id JOIN corpus y ON y.doc_id=b.doc_id GROUP BY ALL"
 
 
 @query("a03_pairs_by_dataset", sql(DATASETS, "corpus", **SIGS))
@@ -205,7 +200,7 @@ def u5(spark, d):
 
 
 ALL = dict(
-    **SIGS, kk=kept_sql(near(D.BANDS4)), r="SELECT c.*, kk.sig, kk.kept FROM corpus c JOIN kk USING (doc_id)", k="SELECT * FROM r WHERE kept", h=HELD,
+    **SIGS, kk=kept_sql(NEAR), r="SELECT c.*, kk.sig, kk.kept FROM corpus c JOIN kk USING (doc_id)", k="SELECT * FROM r WHERE kept", h=HELD,
     fakes="SELECT * FROM k WHERE label=1 AND generator NOT IN (SELECT generator FROM h)", capped=f"SELECT *, {rank_sql('fakes', 'generator', 'uid', 'cap')}>=(SELECT greatest(1,count(*)//50) FROM fakes) AS over FROM fakes",
     pool="SELECT * FROM capped WHERE NOT over", alloc=alloc_sql("pool"),
     reals=f"SELECT *, {rank_sql('k', '1', 'uid', 'reals')} AS rank, count(*) OVER ()*15//100 AS cut FROM k WHERE label=0",

@@ -160,11 +160,12 @@ def r11(spark, d):
     return report(spark, d, "ai_probability")
 
 
-HAVE = "SELECT * FROM features WHERE doc_id%7<>0"
+HAVE = "SELECT * FROM features WHERE doc_id IN (SELECT doc_id FROM labels)"
 
 
 def covered(spark, d) -> DataFrame:
-    return B.features(spark, d).where("doc_id % 7 <> 0")
+    """The features at hand: those of labelled documents."""
+    return B.features(spark, d).join(B.read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
 @query("j01_features_by_manifest", sql("SELECT c.uid, c.label, f_chars FROM corpus c JOIN have USING (uid)", "corpus", "features", have=HAVE))
@@ -172,15 +173,15 @@ def j01(spark, d):
     return B.corpus(spark, d).select("uid", "label").join(covered(spark, d).select("uid", "f_chars"), "uid")
 
 
-@query("j02_payload_by_uid", sql("SELECT c.uid, c.generator, length(d.text) AS size FROM (SELECT * FROM corpus WHERE doc_id%3=0) c JOIN documents d USING (doc_id)", "corpus"))
+@query("j02_payload_by_uid", sql("SELECT c.uid, c.generator, length(d.text) AS size FROM (SELECT * FROM corpus WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality=1)) c JOIN documents d USING (doc_id)", "corpus"))
 def j02(spark, d):
-    wanted = B.corpus(spark, d).where("doc_id % 3 = 0").select("doc_id", "uid", "generator")
+    wanted = B.corpus(spark, d).join(B.read(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", "uid", "generator")
     return wanted.join(B.read(spark, d, "documents").select("doc_id", "text"), "doc_id").select("uid", "generator", F.length("text").alias("size"))
 
 
-@query("j03_uid_list", sql("SELECT uid, f_words FROM features WHERE uid IN (SELECT uid FROM corpus WHERE doc_id%9=0)", "corpus", "features"))
+@query("j03_uid_list", sql("SELECT uid, f_words FROM features WHERE uid IN (SELECT uid FROM corpus WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic=0))", "corpus", "features"))
 def j03(spark, d):
-    uids = B.corpus(spark, d).where("doc_id % 9 = 0").select("uid")
+    uids = B.corpus(spark, d).join(B.read(spark, d, "labels").where("toxic = 0"), "doc_id", "left_semi").select("uid")
     return B.features(spark, d).select("uid", "f_words").join(uids, "uid", "left_semi")
 
 

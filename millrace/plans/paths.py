@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
 from millrace.operators import paths as P
 from millrace.plans import bindings as B
 from millrace.plans.bindings import hash_sql, sql
+from millrace.sources import files
+from millrace.sources.scratch import shared_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -128,16 +132,23 @@ def s03(spark, d):
     return P.listed(B.paths(spark, d), P.IMAGE_TYPES, ("misc",)).select("page_id", "path")
 
 
-@query("s11_checksums", "SELECT doc_id, sha256(text) AS sha, doc_id%10=0 AS mismatch FROM documents WHERE doc_id%4<>3")
+@query("s11_checksums", "SELECT page_id, sha256(html) AS sha, page_id IN (SELECT doc_id FROM labels WHERE toxic=1) AS mismatch FROM pages WHERE page_id IN (SELECT doc_id FROM labels)")
 def s11(spark, d):
-    docs = B.read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    listed = docs.where("doc_id % 4 <> 3").select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.reverse("sha")).otherwise(F.col("sha")).alias("want"))
-    return docs.join(listed, "doc_id").select("doc_id", "sha", (F.col("sha") != F.col("want")).alias("mismatch"))
-
-
-@query("s12_inventory", sql("SELECT list_extract(string_split(path,'/'),3) AS dataset, count(*) AS files, sum(bytes) AS bytes, round(sum(bytes)/1e9,9) AS gb FROM paths GROUP BY 1", "paths"))
+    """Pages as files; the list of checksums names some that are missing and has wrong ones for some."""
+    pages = B.read(spark, d, "pages").select("page_id", F.format_string("%012d.html", "page_id").alias("name"), F.col("html").cast("binary").alias("body"))
+    at = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    files.write_files(pages.select("name", "body"), at).agg(F.count("*")).collect()
+    sha = F.sha2(F.col("body"), 256)
+    known = B.read(spark, d, "labels").select(F.col("doc_id").alias("page_id"), "toxic")
+    listed = known.join(pages, "page_id", "left").select(F.format_string("%012d.html", "page_id").alias("name"), F.when(F.col("toxic") == 1, F.reverse(sha)).otherwise(sha).alias("want"))
+    checked = files.check_sums(spark, at, "*.html", listed)
+    return checked.select(F.regexp_extract("name", "([0-9]+)[.]html", 1).cast("long").alias("page_id"), "sha", "mismatch")
+
+
+@query("s12_inventory", sql("SELECT list_extract(string_split(path,'/'),3) AS dataset, count(*) AS files, sum(bytes) AS bytes, round(sum(bytes)/1e9,9) AS gb, round(sum(bytes)/1e6/(count(*)*0.25::DOUBLE),6) AS mb_per_s FROM paths GROUP BY 1", "paths"))
 def s12(spark, d):
-    return B.paths(spark, d).groupBy(F.get(F.split("path", "/"), F.lit(2)).alias("dataset")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.round(F.sum("bytes") / 1e9, 9).alias("gb"))
+    """A file is taken to have been fetched in a quarter of a second."""
+    return P.inventory(B.paths(spark, d).select(F.get(F.split("path", "/"), F.lit(2)).alias("dataset"), "bytes", F.lit(0.25).alias("seconds")))
 
 
 @query("a24_group_verdict", sql("""SELECT artist, top_path, CASE WHEN share=1 THEN 'Yes' WHEN share=0 THEN 'No' ELSE 'Mixed' END AS verdict FROM (SELECT split_part(path,'/',4) AS artist, arg_max(path, p*1000000-page_id) AS top_path, avg(CASE WHEN p>=0.5::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS share FROM q GROUP BY 1)""", "paths", q="SELECT *, (page_id*7919%100)/100.0::DOUBLE AS p FROM paths"))

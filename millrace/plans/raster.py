@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import sanitized
+from millrace.operators import images
 from millrace.operators import raster as R
 from millrace.plans import bindings as B
 from millrace.plans.bindings import hash_sql, sql
+from millrace.sources import files
+from millrace.sources.scratch import shared_folder
 
 QUERIES, ORACLES = {}, {}
 LEVELS = (0.0, 0.1, 0.25, 0.5)
@@ -40,9 +44,13 @@ def conv_sql(kernel: str, src: str = "tiles") -> str:
     return f"SELECT p.img, p.y, p.x, any_value(p.v) AS v, sum(k.w*q.v) AS s FROM {src} p, {kernel} k JOIN {src} q ON q.img=p.img AND q.y={mirror('p.y+k.dy')} AND q.x={mirror('p.x+k.dx')} GROUP BY p.img, p.y, p.x"
 
 
-@query("r01_pixel_stats", sql("SELECT img, round(avg(v/255.0::DOUBLE),6) AS mean, round(stddev_pop(v/255.0::DOUBLE),6) AS std FROM tiles GROUP BY img", "tiles"))
+RGB_STATS = "SELECT img, " + ", ".join(f"round(avg({c}/255.0::DOUBLE),6) AS mean_{c}, round(stddev_pop({c}/255.0::DOUBLE),6) AS std_{c}" for c in "rgb") + ", round(avg((r/255.0::DOUBLE+g/255.0::DOUBLE+b/255.0::DOUBLE)/3),6) AS brightness FROM rgb GROUP BY img"
+COLOUR = dict(raw=B.CTE["tiles"], rgb=B.CTE["rgb"])
+
+
+@query("r01_pixel_stats", sql(RGB_STATS, **COLOUR))
 def r01(spark, d):
-    return R.pixel_stats(tiles(spark, d))
+    return R.channel_stats(B.rgb_tiles(spark, d))
 
 
 @query("r02_noise_residual", sql("SELECT img, round(avg(v-s),6) AS mean, round(stddev_pop(v-s),6) AS std, round(avg((v-s)*(v-s)),6) AS energy FROM c GROUP BY img", "tiles", k=taps_sql(R.normalized(R.GAUSS_5)), c=conv_sql("k")))
@@ -79,6 +87,16 @@ def r08(spark, d):
     return R.palette(tiles(spark, d))
 
 
+_TURN = "CASE WHEN m=r THEN CASE WHEN g<b THEN (g-b)/CAST(m-l AS DOUBLE)+6 ELSE (g-b)/CAST(m-l AS DOUBLE) END WHEN m=g THEN (b-r)/CAST(m-l AS DOUBLE)+2 ELSE (r-g)/CAST(m-l AS DOUBLE)+4 END"
+COLOURS = f"""SELECT img, round(log2(sum(n))-sum(n*log2(n))/sum(n),6) AS palette_entropy, CAST(arg_max(code, n*100-code)//16*64+32 AS DOUBLE) AS dominant_r, CAST(arg_max(code, n*100-code)//4%4*64+32 AS DOUBLE) AS dominant_g, CAST(arg_max(code, n*100-code)%4*64+32 AS DOUBLE) AS dominant_b, any_value(h) AS hue_std
+ FROM (SELECT img, r//64*16+g//64*4+b//64 AS code, CAST(count(*) AS DOUBLE) AS n FROM rgb GROUP BY ALL) JOIN (SELECT img, round(coalesce(stddev_pop(CASE WHEN m>l THEN ({_TURN})/6.0::DOUBLE END),0),6) AS h FROM (SELECT *, greatest(r,g,b) AS m, least(r,g,b) AS l FROM rgb) GROUP BY img) USING (img) GROUP BY img"""
+
+
+@query("r08_colours", sql(COLOURS, **COLOUR))
+def r08_colours(spark, d):
+    return R.colours(B.rgb_tiles(spark, d))
+
+
 ORDERED = f"SELECT y, x, row_number() OVER (ORDER BY {hash_sql('CAST(y*8+x AS VARCHAR)', 42)})-1 AS k FROM (SELECT DISTINCT y, x FROM tiles)"
 NOISED = "SELECT t.img, t.label, l.level, t.y, t.x, CASE WHEN o.k<CAST(round_even(64*l.level,0) AS INT)//2 THEN 255 WHEN o.k<CAST(round_even(64*l.level,0) AS INT) THEN 0 ELSE t.v END AS v FROM tiles t JOIN ordered o USING (y, x), (VALUES (0.0::DOUBLE),(0.1::DOUBLE),(0.25::DOUBLE),(0.5::DOUBLE)) l(level)"
 
@@ -97,6 +115,19 @@ def r09(spark, d):
     return levelled(spark, d).select("img", "level", F.round(R.mean(F.col("v")), 6).alias("mean"))
 
 
+BLURS = {1: R.GAUSS_3, 2: R.GAUSS_5, 3: R.GAUSS_9}
+
+
+@query("r09_gaussian_blur", sql(" UNION ALL ".join(f"SELECT img, {n} AS level, round(avg(s),6) AS mean, round(stddev_pop(s),6) AS std FROM c{n} GROUP BY img" for n in BLURS), "tiles", **{f"k{n}": taps_sql(R.normalized(k)) for n, k in BLURS.items()}, **{f"c{n}": conv_sql(f"k{n}") for n in BLURS}))
+def r09_blur(spark, d):
+    """Three widths of Gaussian blur."""
+    t, out = tiles(spark, d), None
+    for n, taps in BLURS.items():
+        part = R.moments(R.blurred(t, taps)).select("img", F.lit(n).alias("level"), "mean", "std")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("j13_levels_by_sample", sql("SELECT img, level FROM (SELECT DISTINCT img FROM tiles), (VALUES (0.0::DOUBLE),(0.1::DOUBLE),(0.25::DOUBLE),(0.5::DOUBLE)) l(level)", "tiles"))
 def j13(spark, d):
     levels = spark.createDataFrame([(x,) for x in LEVELS], "level double")
@@ -159,27 +190,45 @@ def lab(t: str) -> str:
     return f"CASE WHEN {t}>0.008856::DOUBLE THEN cbrt({t}) ELSE {t}*7.787::DOUBLE+16.0::DOUBLE/116 END"
 
 
-RGB = "SELECT img//3 AS img, y, x, max(v) FILTER (img%3=0) AS r, max(v) FILTER (img%3=1) AS g, max(v) FILTER (img%3=2) AS b FROM tiles GROUP BY ALL HAVING count(*)=3"
 LINEAR = f"SELECT img, {lin('r')} AS r, {lin('g')} AS g, {lin('b')} AS b FROM rgb"
 XYZ = "SELECT img, (r*0.412453::DOUBLE+g*0.357580::DOUBLE+b*0.180423::DOUBLE)/0.950456::DOUBLE AS x, r*0.212671::DOUBLE+g*0.715160::DOUBLE+b*0.072169::DOUBLE AS y, (r*0.019334::DOUBLE+g*0.119193::DOUBLE+b*0.950227::DOUBLE)/1.088754::DOUBLE AS z FROM lin"
 CHROMA = f"SELECT img, sqrt(pow(500*({lab('x')}-{lab('y')}),2)+pow(200*({lab('y')}-{lab('z')}),2))/181 AS c FROM xyz"
 
 
-@query("r07_chroma", sql("SELECT img, round(avg(c),6) AS chroma_mean, round(stddev_pop(c),6) AS chroma_std, round(quantile_cont(c,0.9),6) AS chroma_p90 FROM ch GROUP BY img", "tiles", rgb=RGB, lin=LINEAR, xyz=XYZ, ch=CHROMA))
+@query("r07_chroma", sql("SELECT img, round(avg(c),6) AS chroma_mean, round(stddev_pop(c),6) AS chroma_std, round(quantile_cont(c,0.9),6) AS chroma_p90 FROM ch GROUP BY img", **COLOUR, lin=LINEAR, xyz=XYZ, ch=CHROMA))
 def r07(spark, d):
-    t = B.tiles(spark, d)
-    of = lambda k, n: F.max(F.when(F.col("img") % 3 == k, F.col("v"))).alias(n)
-    rgb = t.groupBy(F.expr("img div 3").alias("img3"), "y", "x").agg(of(0, "r"), of(1, "g"), of(2, "b"), F.count("*").alias("n")).where("n = 3")
-    return R.chroma(rgb.withColumnRenamed("img3", "img"))
+    return R.chroma(B.rgb_tiles(spark, d))
+
+
+def on_grey(name: str) -> str:
+    """The SQL of a query over grey tiles, over the luma of the colour tiles instead."""
+    return ORACLES[name].replace(f"tiles AS ({B.CTE['tiles']})", f"raw AS ({B.CTE['tiles']}), rgb AS ({B.CTE['rgb']}), tiles AS ({B.CTE['grey']})")
 
 
-JOB = " JOIN ".join(f"({ORACLES[n]}) t{i}" + (" USING (img)" if i else "") for i, n in enumerate(("r01_pixel_stats", "r03_spectrum", "r05_cooccurrence", "r06_gradients")))
-WANTED = ["mean", "std", "fft_ratio", "contrast", "homogeneity", "sobel_mean"]
+#: The columns of the feature job: query, or its form over the luma, and names there and in the job.
+SAME = lambda *names: {n: n for n in names}
+JOB = {
+    ORACLES["r01_pixel_stats"]: SAME("mean_r", "mean_g", "mean_b", "std_r", "std_g", "std_b", "brightness"), on_grey("r02_noise_residual"): {"mean": "noise_mean", "std": "noise_std", "energy": "noise_energy"}, on_grey("r03_spectrum"): SAME("fft_high", "fft_low", "fft_ratio"),
+    on_grey("r04_sensor_noise"): {"mean": "prnu_mean", "std": "prnu_std", "energy": "prnu_energy", "fft_ratio": "prnu_fft_ratio"}, on_grey("r05_cooccurrence"): SAME("contrast", "energy", "homogeneity", "correlation"), on_grey("r06_gradients"): SAME("sobel_mean", "sobel_std", "gradient_density"),
+    ORACLES["r07_chroma"]: SAME("chroma_mean", "chroma_std", "chroma_p90"), ORACLES["r08_colours"]: SAME("palette_entropy", "dominant_r", "dominant_g", "dominant_b", "hue_std"),
+}
+JOINED = " JOIN ".join(f"(SELECT img, {', '.join(f'{a} AS f_{b}' for a, b in names.items())} FROM ({q})) t{i}" + (" USING (img)" if i else "") for i, (q, names) in enumerate(JOB.items()))
 
 
-@query("r10_feature_job", f"SELECT img, {', '.join(f'{c} AS f_{c}' for c in sorted(WANTED))} FROM {JOB} WHERE img%3=0")
+def image_files(spark, d) -> DataFrame:
+    """The colour tiles as PNG files, one in seventeen cut off, read again."""
+    at = f"{shared_folder(spark)}/images-{uuid.uuid4().hex}"
+    images.write_tiles(B.rgb_tiles(spark, d), at)
+    return images.extract(files.read_images(spark, at, drop=None))
+
+
+@query("r10_feature_job", f"SELECT img, {', '.join(f'f_{n}' for n in images.NAMES if n != 'prnu_peak')} FROM {JOINED} WHERE img%17<>0")
 def r10(spark, d):
-    wanted = B.read(spark, d, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("img"))
-    t = tiles(spark, d).join(wanted, "img", "left_semi")
-    joined = R.pixel_stats(t).join(R.spectrum(t), "img").join(R.cooccurrence(t), "img").join(R.gradients(t), "img")
-    return joined.select("img", *[sanitized(F.col(c)).alias(f"f_{c}") for c in sorted(WANTED)])
+    """All features of all image files that can be decoded; the autocorrelation peak, whose SQL is over grey tiles (r04_autocorrelation), is left out here."""
+    rows = image_files(spark, d).where("not failed")
+    return rows.select(F.regexp_extract("path", "([0-9]+)[.]png$", 1).cast("long").alias("img"), *[f"f_{n}" for n in images.NAMES if n != "prnu_peak"])
+
+
+@query("r10_failures", sql("SELECT count(*) AS images, count(*) FILTER (img%17=0) AS failures FROM (SELECT DISTINCT img FROM rgb)", **COLOUR))
+def r10_failures(spark, d):
+    return image_files(spark, d).agg(F.count("*").alias("images"), F.count_if("failed").alias("failures"))

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Column names that hold an id or a label.
 ID_NAMES = ("id", "filename", "file_name", "image", "image_id", "path")
 LABEL_NAMES = ("label", "class", "target", "y", "is_ai")
 
@@ -51,14 +60,46 @@ def read_run_records(spark: SparkSession, path: str, schema: T.StructType | None
     return df.where(~F.col("_metadata.file_name").startswith(skip) & F.col("splits").isNotNull())
 
 
-def read_images(spark: SparkSession, path: str, drop: bool = True) -> DataFrame:
-    """(path, height, width, channels, data): undecodable images are dropped, or become one black 1 x 1 pixel."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+def write_files(rows: DataFrame, root: str) -> DataFrame:
+    """Write each row (name, body) as a file below root, from the tasks, when the result (name, bytes) is read. A name written twice is the same file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(body or b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.fill_null(pc.binary_length(batch.column(1)), 0), pa.int64())], names=["name", "bytes"])
+
+    return rows.select("name", F.col("body").cast("binary").alias("body")).mapInArrow(run, "name string, bytes long")
+
+
+def check_sums(spark: SparkSession, root: str, pattern: str, listed: DataFrame) -> DataFrame:
+    """(name, sha, mismatch) of the files below root that listed (name, want: SHA-256) names; listed files that are missing give no row."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    sums = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha"))
+    return sums.join(listed, "name").select("name", "sha", (~F.col("sha").eqNullSafe(F.col("want"))).alias("mismatch"))
+
+
+def png(pixels: np.ndarray) -> bytes:
+    """A PNG file of height x width x 3 (RGB) bytes."""
+    high, wide, _ = pixels.shape
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    lines = b"".join(b"\0" + row.tobytes() for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", wide, high, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def read_images(spark: SparkSession, path: str, drop: bool | None = True) -> DataFrame:
+    """(path, height, width, channels, data): undecodable images are dropped, become one black 1 x 1 pixel, or (None) have nulls."""
+    images = spark.read.format("image").option("dropInvalid", bool(drop)).load(path).select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+    bad = (F.col("height") < 0) | (F.col("width") < 0)
     if drop:
         return images
-    files = spark.read.format("binaryFile").load(path).select("path")
-    black = lambda c, v: F.coalesce(c, v).alias(c)
-    return files.join(images, "path", "left").select("path", black("height", F.lit(1)), black("width", F.lit(1)), black("channels", F.lit(3)), F.coalesce("data", F.unhex(F.lit("000000"))).alias("data"))
+    if drop is None:
+        return images.select("path", *[F.when(~bad, F.col(c)).alias(c) for c in ("height", "width", "channels", "data")])
+    black = {"height": F.lit(1), "width": F.lit(1), "channels": F.lit(3), "data": F.unhex(F.lit("000000"))}
+    return images.select("path", *[F.when(bad, v).otherwise(F.col(c)).alias(c) for c, v in black.items()])
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder every executor shares: spark.checkpoint.dir. Only a local session may go without and gets a temporary one."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-millrace-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
