@@ -32,15 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder. They cut lineage and survive lost executors."""
+    """Tables written to the shared folder. They cut lineage and survive lost executors; what is left of them goes with the application."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.marked = False
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        if not self.marked:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            self.marked = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def read(self, name: str, ddl: str, **more: T.DataType) -> DataFrame:

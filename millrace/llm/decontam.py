@@ -79,6 +79,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, contained: float = CONT
     sizes, small = sorted(many) or [SHINGLE], sum(many.values()) <= BROADCAST_ROWS
     keyed = shingle_rows(d.select("text", *text_key()), ["t1", "t2"], sizes).select("t1", "t2", F.xxhash64(*COLUMNS).alias("h"))
     met = scratch.save(keyed.join(F.broadcast(sketch) if small else sketch, "h").select("t1", "t2", "i1", "i2").distinct(), "candidates")
+    scratch.drop("sketches")
     texts = d.select("doc_id", "text", *text_key()).join(met.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi")
     rows = shingle_rows(texts, ["doc_id", "t1", "t2"], sizes).withColumn("h", F.xxhash64(*COLUMNS)).distinct()
     wanted = items.select("i1", "i2", "n", "h", *[F.col(c).alias(f"i{c}") for c in COLUMNS])

@@ -133,6 +133,7 @@ def classes(docs: DataFrame) -> DataFrame:
     prints = scratch.save(fingerprints(docs), "prints")
     nodes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = scratch.save(components(scratch, links(scratch, nodes)), "roots")
+    scratch.drop("met")
     joined = nodes.join(roots, nodes.fp == roots.node)
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = joined.join(least, "root").select("fp", F.col("root").alias("r"), F.col("component_id").alias("c"))

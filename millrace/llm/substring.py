@@ -194,6 +194,7 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "substring")
     docs = docs.select("doc_id", "text")
     spans = scratch.save(repeated_spans(scratch, docs, length), "spans")
+    scratch.drop("met", "windows")
 
     def cut(part: Iterator[dict]) -> Iterator[tuple]:
         for r in part:
