@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
@@ -11,7 +9,7 @@ from millrace.operators import paths as P
 from millrace.plans import bindings as B
 from millrace.plans.bindings import hash_sql, sql
 from millrace.sources import files
-from millrace.sources.scratch import shared_folder
+from millrace.sources.scratch import temporary
 
 QUERIES, ORACLES = {}, {}
 
@@ -136,7 +134,7 @@ def s03(spark, d):
 def s11(spark, d):
     """Pages as files; the list of checksums names some that are missing and has wrong ones for some."""
     pages = B.read(spark, d, "pages").select("page_id", F.format_string("%012d.html", "page_id").alias("name"), F.col("html").cast("binary").alias("body"))
-    at = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    at = temporary(spark, "pages")
     files.write_files(pages.select("name", "body"), at).agg(F.count("*")).collect()
     sha = F.sha2(F.col("body"), 256)
     known = B.read(spark, d, "labels").select(F.col("doc_id").alias("page_id"), "toxic")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from millrace.operators import raster as R
 from millrace.plans import bindings as B
 from millrace.plans.bindings import hash_sql, sql
 from millrace.sources import files
-from millrace.sources.scratch import shared_folder
+from millrace.sources.scratch import temporary
 
 QUERIES, ORACLES = {}, {}
 LEVELS = (0.0, 0.1, 0.25, 0.5)
@@ -217,7 +215,7 @@ JOINED = " JOIN ".join(f"(SELECT img, {', '.join(f'{a} AS f_{b}' for a, b in nam
 
 def image_files(spark, d) -> DataFrame:
     """The colour tiles as PNG files, one in seventeen cut off, read again."""
-    at = f"{shared_folder(spark)}/images-{uuid.uuid4().hex}"
+    at = temporary(spark, "images")
     images.write_tiles(B.rgb_tiles(spark, d), at)
     return images.extract(files.read_images(spark, at, drop=None))
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from millrace.plans import bindings as B
 from millrace.plans.bindings import sql
 from millrace.plans.history import RUNNING
-from millrace.sources.scratch import shared_folder
+from millrace.sources.scratch import temporary
 from millrace.streaming import jobs
 
 QUERIES, ORACLES = {}, {}
@@ -29,7 +27,7 @@ def query(name: str, oracle: str | None = None):
 @query("x1_resumable_shards", sql("SELECT uid, label FROM corpus WHERE doc_id%17<>0", "corpus"))
 def x1(spark, d):
     """Shards come in two rounds. The first attempt at each batch fails on its bad rows; the next does the batch again, with bad rows set aside."""
-    root = f"{shared_folder(spark)}/x1-{uuid.uuid4().hex}"
+    root = temporary(spark, "x1")
     c = B.corpus(spark, d).select("uid", "doc_id", "label")
     bad = F.col("doc_id") % 17 == 0
 
@@ -49,7 +47,7 @@ def x1(spark, d):
 
 @query("x2_online_early_stop", sql("SELECT tag, min(epoch) FILTER (bad>=4) AS stop_epoch FROM (SELECT *, row_number() OVER (PARTITION BY tag, island ORDER BY epoch)-1 AS bad FROM (SELECT *, sum(CAST(improved AS INT)) OVER (PARTITION BY tag ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS island FROM r)) GROUP BY tag", "history", r=RUNNING))
 def x2(spark, d):
-    root = f"{shared_folder(spark)}/x2-{uuid.uuid4().hex}"
+    root = temporary(spark, "x2")
     h = B.history(spark, d).select("tag", "epoch", F.col("logo_auc").alias("value"))
     stream = None
     for k in range(2):  # two rounds of ten and twenty epochs

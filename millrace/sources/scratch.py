@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
     """A checkpoint of df in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A path in a new folder below the shared one; the folder goes with the application."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    return f"{folder.toString()}/{name}"
