@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -193,8 +193,9 @@ def learn_starts(docs: DataFrame, labels: DataFrame | None, bound: int = TAUGHT)
     sizes = taught.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.count("*").alias("n")).first()
     rate = ((F.col("bad") + 0.5) / (sizes["bad"] + 1.0)) / ((F.col("n") - F.col("bad") + 0.5) / (sizes["n"] - sizes["bad"] + 1.0))
     listed = counts.where(F.col("bad") >= SEEN).withColumn("rate", rate).where(F.col("rate") >= TIMES)
-    best = listed.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("rate"), "start"))).where(F.col("place") <= LISTED).collect()
-    return {f: sorted(r["start"] for r in best if r["family"] == f) for f in FAMILIES}
+    best = listed.groupBy("family").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("rate")).alias("r"), "start"))), 1, LISTED).alias("best")).collect()
+    held = {r["family"]: sorted(b["start"] for b in r["best"]) for r in best}
+    return {f: held.get(f, []) for f in FAMILIES}
 
 
 VOTES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("form", T.StringType()), T.StructField("tone", T.StringType())])
