@@ -76,7 +76,7 @@ QUERIES: dict[str, Query] = {
 }
 _WORDS = r"list_filter(string_split_regex(lower(text),'[^\p{L}\p{N}]+'), lambda x: x<>'')"
 _SHINGLES = "CASE WHEN len(w)>=5 THEN [array_to_string(w[i:i+4],' ') FOR i IN range(1,len(w)-3)] WHEN len(w)>0 THEN [array_to_string(w,' ')] ELSE [] END"
-_GRAMS = "list_concat(" * 4 + ", ".join([f"[array_to_string(w[i:i+{m - 1}],' ') FOR i IN range(1,greatest(1,len(w)-{m - 2}))]" + (")" if m > 1 else "") for m in range(1, 6)])
+_GRAMS = "list_concat(" * 4 + ", ".join([f"[array_to_string(w[i:i+{m - 1}],' ') FOR i IN range(1,greatest(1,len(w)+{2 - m}))]" + (")" if m > 1 else "") for m in range(1, 6)])
 
 ORACLES: dict[str, str] = {
     "op3_recompression_dedup": r"""
