@@ -28,12 +28,15 @@ JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.DOTALL)
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 #: Base64 over several lines of some width, without armour.
-WRAPPED = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{40,80})*\r?\n[A-Za-z0-9+/]{1,80}={0,2}(?![A-Za-z0-9+/=])")
+#: A run is entered at its start only and never given back, so a long one costs its length.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+(?:\r?\n[A-Za-z0-9+/]{40,80}+)*\r?\n[A-Za-z0-9+/]{1,80}+={0,2}+(?![A-Za-z0-9+/=])")
 #: Where a key can begin in a run: at its start or after a separator.
 BEGINS = re.compile(r"(?:^|(?<=[/_+=-]))(?=M[A-Za-z0-9+/_-]{7}|AAAA|b3BlbnNza)")
 HEXBLOB = re.compile(r"[0-9a-fA-F]{64,}")
 NEEDED = re.compile(r"[A-Za-z0-9+/_-]{40}")
 NESTING = 12
+#: Fields of an SSH key's wire form, at most.
+FIELDS = 16
 
 
 def b64(text: str) -> bytes | None:
@@ -106,19 +109,34 @@ def der_total(head: bytes | None) -> int:
     return 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
 
 
+def fields_fit(run: str, start: int, size: int) -> bool:
+    """Whether length-prefixed fields from start end where the run does; only the lengths are decoded."""
+    total, at = (size - start) * 3 // 4, 0
+    for _ in range(FIELDS):
+        piece = b64(run[start + at // 3 * 4 : start + at // 3 * 4 + 12]) or b""
+        if len(piece) < at % 3 + 4:
+            return False
+        at += 4 + int.from_bytes(piece[at % 3 : at % 3 + 4], "big")
+        if at >= total:
+            return at == total
+    return False
+
+
 def key_in(run: str) -> tuple[int, str] | None:
     """Where in a run of base64 a key begins that ends with it, and its kind. Lengths are looked at before anything long is decoded."""
     joined = "".join(run.split())
-    size = len(joined.rstrip("="))
+    size, plain = len(joined.rstrip("=")), joined.replace("-", "+").replace("_", "/")
     for m in BEGINS.finditer(joined):
         left = size - m.start()
         if joined[m.start()] == "M":
-            total = der_total(b64(joined[m.start() : m.start() + 8]))
+            total = der_total(binascii.a2b_base64(plain[m.start() : m.start() + 8]))
             if -(-total * 4 // 3) == left and is_der_key(b64(joined[m.start() :])):
                 return m.start(), "der"
         else:
             head = b64(joined[m.start() : m.start() + 40]) or b""
-            if (head.startswith(b"openssh-key") or re.match(rb"\0\0\0.(ssh|ecdsa|sk)-", head, re.DOTALL)) and is_ssh_key(b64(joined[m.start() :])):
+            if head.startswith(b"openssh-key-v1\0") and (size - m.start()) % 4 != 1:
+                return m.start(), "ssh"
+            if re.match(rb"\0\0\0.(ssh|ecdsa|sk)-", head, re.DOTALL) and fields_fit(joined, m.start(), size) and is_ssh_key(b64(joined[m.start() :])):
                 return m.start(), "ssh"
     return None
 

@@ -3,7 +3,9 @@ import hashlib
 import json
 import random
 import re
+import struct
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -63,6 +65,23 @@ def test_structure_confirms_or_rejects():
     assert "jwt" in kinds(f"{spaced}.eyJhIjoxfQ.") and "jwt" in kinds(base64.urlsafe_b64encode(b'{\n"alg":"HS256"}').decode().rstrip("=") + ".eyJhIjoxfQ.c2ln")
 
 
+def test_long_runs_cost_their_length():
+    """A megabyte without a line break, of lines, and of pieces that each look like the start of a key."""
+    rng, n = random.Random(11), 1 << 20
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    plain = "".join(rng.choices(letters, k=n))
+    lines = "\n".join(plain[k : k + 64] for k in range(0, n, 64))
+    key = base64.b64encode(struct.pack(">I7sI3sI64s", 7, b"ssh-rsa", 3, b"\1\0\1", 64, bytes(range(64)))).decode()
+    cases = [plain, lines, "MIIB/" * (n // 5), "/AAAAB3NzaC1yc2EAAAADAQAB" * (n // 25), "eyJhbGciOiJI." * (n // 13), "".join(rng.choices("0123456789abcdef", k=n)), "308202" * (n // 6), "b3BlbnNzaC1rZXktdjEA/" * (n // 21)]
+    for text in cases:
+        began = time.process_time()
+        secrets.find_spans(text)
+        assert time.process_time() - began < 1
+    end = len(plain) + 1 + len(key)
+    assert (end - len(key), end, "ssh") in secrets.find_spans(f"{plain}/{key}")
+    assert (len(lines) + 1, len(lines) + 1 + len(key), "ssh") in secrets.find_spans(f"{lines}-{key}")
+
+
 def test_scan_rows(spark):
     rows = [(1, "token = abcdefghijkl"), (1, None), (None, ""), (2, "clean")]
     df = spark.createDataFrame([(a, b, "s") for a, b in rows], "doc_id long, text string, spans string")
