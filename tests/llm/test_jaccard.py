@@ -51,3 +51,24 @@ def test_keep_first_against_brute_force(spark, monkeypatch, paired, common):
     rows += [(5000, None), (5001, ""), (5002, " \n"), (5003, "One  two"), (5004, "one two"), (5005, "one two three")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(r["doc_id"] for r in simhash.keep_first(df).collect()) == brute(rows)
+
+
+def test_rows_grow_with_texts_that_share_a_passage(spark, monkeypatch):
+    """170 shared and 30 own words (similarity 0.74): compared pairs stay in proportion to the texts."""
+    made, whole = [], jaccard.similar
+
+    def counted(scratch, docs, nodes, pairs, name):
+        made.append(pairs.count())
+        return whole(scratch, docs, nodes, pairs, name)
+
+    monkeypatch.setattr(jaccard, "similar", counted)
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    shared = " ".join(rng.choices(words, k=170))
+    for n in (1000, 4000):
+        made.clear()
+        rows = [(d, " ".join([*rng.choices(words, k=15), shared, *rng.choices(words, k=15)])) for d in range(n)]
+        rows += [(n, rows[5][1] + " end"), (n + 1, "start " + rows[5][1])]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert simhash.keep_first(df).count() == n
+        assert sum(made) < 2 * n
