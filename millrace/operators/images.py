@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.raster import ANGLES, GAUSS_3, GAUSS_5, GAUSS_9, SOBEL_X, SOBEL_Y, normalized
+from millrace.operators.raster import ANGLES, GAUSS_3, GAUSS_5, GAUSS_9, GRID, SOBEL_X, SOBEL_Y, cosines, normalized
 from millrace.sources import files
 
 NAMES = sorted(
@@ -119,16 +119,36 @@ def pixels_of(high: int, wide: int, channels: int, data: bytes) -> np.ndarray:
     return np.repeat(v, 3, axis=2) if channels == 1 else v[:, :, 2::-1]
 
 
-def map_images(found: DataFrame, kernel: Callable[[np.ndarray], list[float]], names: list[str]) -> DataFrame:
-    """found's path, height and width, and the kernel's numbers; nulls where there is no data."""
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]])
+def onto_grid(n: int, grid: int = GRID) -> np.ndarray:
+    """Weights (grid x n) that average n pixels over `grid` equal cells, pixels cut by a border in parts."""
+    edge = np.arange(grid + 1) * n / grid
+    low, high = np.maximum(edge[:-1, None], np.arange(n)), np.minimum(edge[1:, None], np.arange(1, n + 1))
+    return np.maximum(high - low, 0.0) * grid / n
+
+
+def signature(rgb: np.ndarray) -> int:
+    """The 64 bits of `raster.signature`, as a signed number, for an image of any size: its luma averaged onto the grid."""
+    grey = onto_grid(rgb.shape[0]) @ grey_of(rgb) @ onto_grid(rgb.shape[1]).T
+    basis = np.array(cosines(GRID))
+    c = np.round(basis @ grey @ basis.T, 4).ravel()
+    ordered = np.sort(c)
+    return int(np.packbits(c > (ordered[31] + ordered[32]) / 2).view(">i8")[0])
+
+
+def map_images(found: DataFrame, kernel: Callable[[np.ndarray], list], names: list[str], kind: T.DataType | None = None, rows: int = 256) -> DataFrame:
+    """found's path, height and width, and the kernel's numbers (doubles, or of another kind); nulls where there is no data. Results go on in batches of `rows`."""
+    kind = kind or T.DoubleType()
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), *[T.StructField(n, kind) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                path, high, wide, channels, data = (batch.column(c)[k].as_py() for c in range(5))
-                values = kernel(pixels_of(high, wide, channels, data)) if data else [None] * len(names)
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, [path, high, wide, *[None if v is None else float(v) for v in values]], strict=True))], schema=arrow)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                values = []
+                for k in range(part.num_rows):
+                    high, wide, channels, data = (part.column(c)[k] for c in range(1, 5))
+                    values.append(kernel(pixels_of(high.as_py(), wide.as_py(), channels.as_py(), data.as_buffer())) if data.is_valid and len(data.as_buffer()) else [None] * len(names))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), *(pa.array(v, type=f.type) for v, f in zip(zip(*values, strict=True), list(arrow)[3:], strict=True))], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -136,18 +156,23 @@ def map_images(found: DataFrame, kernel: Callable[[np.ndarray], list[float]], na
     return found.select("path", "height", "width", "channels", "data").mapInArrow(run, schema)
 
 
+def signatures(found: DataFrame) -> DataFrame:
+    """(path, sig) of image rows; null for one that can't be decoded."""
+    return map_images(found, lambda rgb: [signature(rgb)], ["sig"], T.LongType()).select("path", "sig")
+
+
 def channel_means(found: DataFrame) -> DataFrame:
     return map_images(found, lambda rgb: [round(float(x), 6) for x in rgb.reshape(-1, 3).mean(0)], ["r", "g", "b"])
 
 
 def extract(found: DataFrame) -> DataFrame:
     """(path, failed, f_<name>...) for image rows (path, height, width, channels, data; null data: not decodable); no number is left NaN or infinite."""
-    rows = map_images(found, lambda rgb: [f if np.isfinite(f) else 0.0 for f in map(features(rgb).__getitem__, NAMES)], NAMES)
+    rows = map_images(found, lambda rgb: [float(f) if np.isfinite(f) else 0.0 for f in map(features(rgb).__getitem__, NAMES)], NAMES)
     return rows.select("path", F.col(NAMES[0]).isNull().alias("failed"), *[F.round(n, 6).alias(f"f_{n}") for n in NAMES])
 
 
-def write_tiles(pixels: DataFrame, root: str, broken: int = 17) -> None:
-    """Write pixel rows (img, y, x, r, g, b) as PNG files below root; those of every `broken`-th image are cut off."""
+def write_tiles(pixels: DataFrame, root: str, broken: int | None = 17) -> None:
+    """Write pixel rows (img, y, x, r, g, b) as PNG files below root; those of every `broken`-th image, if given, are cut off."""
     cells = F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b")))
     rows = pixels.groupBy("img").agg(cells.alias("c")).select("img", F.transform("c", lambda p: F.array(p["r"], p["g"], p["b"])).alias("v"))
 
@@ -158,7 +183,7 @@ def write_tiles(pixels: DataFrame, root: str, broken: int = 17) -> None:
                 side = int(len(v) ** 0.5)
                 body = files.png(np.array(v, dtype=np.uint8).reshape(side, side, 3))
                 names.append(f"{img:012d}.png")
-                bodies.append(body[:20] if img % broken == 0 else body)
+                bodies.append(body[:20] if broken and img % broken == 0 else body)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(bodies, type=pa.binary())], names=["name", "body"])
 
     files.write_files(rows.mapInArrow(run, "name string, body binary"), root).agg(F.count("*")).collect()

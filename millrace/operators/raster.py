@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from millrace.sources.scratch import cut
 
 SIDE = 8
+#: Side of the grid that signatures take images to.
+GRID = 32
 GAUSS_5 = [(dy, dx, math.exp(-(dy * dy + dx * dx) / (2 * 1.5**2))) for dy in range(-2, 3) for dx in range(-2, 3)]
 SOBEL_X = [(dy, dx, float(w)) for dy, row in zip((-1, 0, 1), ((-1, 0, 1), (-2, 0, 2), (-1, 0, 1)), strict=True) for dx, w in zip((-1, 0, 1), row, strict=True) if w]
 SOBEL_Y = [(dx, dy, w) for dy, dx, w in SOBEL_X]
@@ -159,6 +161,27 @@ def salted(tiles: DataFrame, share: float, seed: int = 42) -> DataFrame:
     return tiles.select("img", F.zip_with("v", place, hit).alias("v"))
 
 
+def cosines(side: int = SIDE, grid: int = GRID) -> list[list[float]]:
+    """Weights of `side` pixels, spread over `grid`, in the first eight cosine frequencies."""
+    spread = grid // side
+    return [[sum(math.cos(math.pi * u * (2 * (spread * y + r) + 1) / (2 * grid)) for r in range(spread)) for y in range(side)] for u in range(8)]
+
+
+def signature(tiles: DataFrame, side: int = SIDE) -> DataFrame:
+    """(img, sig): 64 bits, one for each of the 8 x 8 lowest cosine coefficients of the tile on a grid of 32 x 32: whether it's above their median.
+
+    The first coefficient is the highest bit. Near copies (other brightness, light blur) differ in few bits (`images.signature` is
+    the same for images of any size).
+    """
+    of = cosines(side)
+    basis = [F.array(*[F.lit(of[u][y] * of[w][x]) for y in range(side) for x in range(side)]) for u in range(8) for w in range(8)]
+    dot = lambda b: F.round(F.aggregate(F.zip_with("v", b, lambda p, q: p * q), F.lit(0.0), lambda a, x: a + x), 4)
+    c = tiles.select("img", F.array(*[dot(b) for b in basis]).alias("c")).withColumn("s", F.array_sort("c"))
+    c = c.select("img", "c", ((F.get("s", F.lit(31)) + F.get("s", F.lit(32))) / 2).alias("m"))
+    bit = lambda x: F.when(x > F.col("m"), F.lit(1)).otherwise(0).cast("long")
+    return c.select("img", F.aggregate("c", F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(bit(x))).alias("sig"))
+
+
 def sensor_noise(tiles: DataFrame) -> DataFrame:
     """Relative residual of a Gaussian of deviation 1, less its own 3 x 3 blur, as tiles. Each filter is cut by a checkpoint, or the next would work it out anew at every tap."""
     smooth = tiles.withColumn("s", filtered(F.col("v"), normalized(GAUSS_9)))
@@ -176,12 +199,17 @@ def autocorrelation_peak(tiles: DataFrame, side: int = SIDE) -> DataFrame:
     return z.select("img", F.round(peak / (dot(shifts[0]) + 1e-8), 6).alias("peak"))
 
 
-def chroma(pixels: DataFrame) -> DataFrame:
-    """(img, chroma_mean, chroma_std, chroma_p90) of pixel rows (img, y, x, r, g, b): CIELAB chroma by 181."""
+def lab_parts(pixels: DataFrame) -> DataFrame:
+    """pixels (img, y, x, r, g, b) with fx, fy, fz, from which CIELAB's axes are differences."""
     linear = lambda c: F.when(F.col(c) / 255.0 <= 0.04045, F.col(c) / 255.0 / 12.92).otherwise(F.pow((F.col(c) / 255.0 + 0.055) / 1.055, F.lit(2.4)))
     r, g, b = (linear(c) for c in "rgb")
     f = lambda t: F.when(t > 0.008856, F.cbrt(t)).otherwise(t * 7.787 + 16.0 / 116.0)
-    p = pixels.select("img", f((r * 0.412453 + g * 0.357580 + b * 0.180423) / 0.950456).alias("fx"), f(r * 0.212671 + g * 0.715160 + b * 0.072169).alias("fy"), f((r * 0.019334 + g * 0.119193 + b * 0.950227) / 1.088754).alias("fz"))
+    return pixels.select("*", f((r * 0.412453 + g * 0.357580 + b * 0.180423) / 0.950456).alias("fx"), f(r * 0.212671 + g * 0.715160 + b * 0.072169).alias("fy"), f((r * 0.019334 + g * 0.119193 + b * 0.950227) / 1.088754).alias("fz"))
+
+
+def chroma(pixels: DataFrame) -> DataFrame:
+    """(img, chroma_mean, chroma_std, chroma_p90) of pixel rows (img, y, x, r, g, b): CIELAB chroma by 181."""
+    p = lab_parts(pixels)
     c = p.select("img", (F.sqrt(F.pow((F.col("fx") - F.col("fy")) * 500, F.lit(2.0)) + F.pow((F.col("fy") - F.col("fz")) * 200, F.lit(2.0))) / 181.0).alias("c"))
     return c.groupBy("img").agg(F.round(F.avg("c"), 6).alias("chroma_mean"), F.round(F.stddev_pop("c"), 6).alias("chroma_std"), F.round(F.percentile("c", F.lit(0.9)), 6).alias("chroma_p90"))
 

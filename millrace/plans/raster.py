@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import images
+from millrace.operators import dedup, images, palette
 from millrace.operators import raster as R
 from millrace.plans import bindings as B
 from millrace.plans.bindings import hash_sql, sql
 from millrace.sources import files
-from millrace.sources.scratch import temporary
+from millrace.sources.scratch import cut, temporary
 
 QUERIES, ORACLES = {}, {}
 LEVELS = (0.0, 0.1, 0.25, 0.5)
@@ -163,6 +165,31 @@ def a26(spark, d):
     return scored(spark, d).groupBy("level").agg(F.round(F.coalesce(F.try_divide(2.0 * tp, 2 * tp + wrong), F.lit(0.0)), 6).alias("f1"))
 
 
+def kernel(size: int) -> list[tuple[int, int, float]]:
+    """Gaussian of a kernel size, with the deviation that goes with it by convention."""
+    sigma, reach = 0.3 * ((size - 1) * 0.5 - 1) + 0.8, size // 2
+    return R.normalized([(dy, dx, math.exp(-(dy * dy + dx * dx) / (2 * sigma * sigma))) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)])
+
+
+KERNELS = (0, 3, 5, 7, 11)
+GRID_SQL = " UNION ALL ".join(f"SELECT img, {k} AS kernel, round(avg({'s' if k else 'v'}),6) AS mean, round(stddev_pop({'s' if k else 'v'}),6) AS std FROM {f'c{k}' if k else 'tiles'} GROUP BY img" for k in KERNELS)
+VOTED = "SELECT kernel, 'mean' AS model, CAST(mean>=128 AS INT) AS pred, y FROM g JOIN t USING (img) UNION ALL SELECT kernel, 'contrast', CAST(std>=20 AS INT), y FROM g JOIN t USING (img)"
+
+
+@query("a26_f1_by_blur", sql("SELECT kernel, model, count(*) FILTER (pred=1 AND y=1) AS tp, round(coalesce(2.0::DOUBLE*count(*) FILTER (pred=1 AND y=1)/nullif(2*count(*) FILTER (pred=1 AND y=1)+count(*) FILTER (pred<>y),0),0),6) AS f1 FROM o GROUP BY kernel, model", "tiles", **{f"k{k}": taps_sql(kernel(k)) for k in KERNELS if k}, **{f"c{k}": conv_sql(f"k{k}") for k in KERNELS if k}, g=GRID_SQL, t="SELECT DISTINCT img, label%2 AS y FROM tiles", o=VOTED))
+def a26_blur(spark, d):
+    """Two models over five kernels of blur: each kernel's pixels are worked out once and both models score them."""
+    t, grid = cut(tiles(spark, d)), None
+    for k in KERNELS:
+        part = R.moments(R.blurred(t, kernel(k)) if k else t).select("img", F.lit(k).alias("kernel"), "mean", "std")
+        grid = part if grid is None else grid.unionByName(part)
+    truth = B.read(spark, d, "embeddings").select(F.col("vec_id").alias("img"), (F.col("label") % 2).alias("y"))
+    votes = F.inline(F.array(F.struct(F.lit("mean").alias("model"), (F.col("mean") >= 128).cast("int").alias("pred")), F.struct(F.lit("contrast").alias("model"), (F.col("std") >= 20).cast("int").alias("pred"))))
+    tp, wrong = F.count_if((F.col("pred") == 1) & (F.col("y") == 1)), F.count_if(F.col("pred") != F.col("y"))
+    scored = grid.join(truth, "img").select("kernel", "y", votes)
+    return scored.groupBy("kernel", "model").agg(tp.alias("tp"), F.round(F.coalesce(F.try_divide(2.0 * tp, 2 * tp + wrong), F.lit(0.0)), 6).alias("f1"))
+
+
 NOISE = dict(g="SELECT img, y, x, v/255.0::DOUBLE AS v FROM tiles", k9=taps_sql(R.normalized(R.GAUSS_9)), c9=conv_sql("k9", "g"), q="SELECT img, y, x, (v-s)/(v+1e-3::DOUBLE) AS v FROM c9", k3=taps_sql(R.normalized(R.GAUSS_3)), c3=conv_sql("k3", "q"), z="SELECT img, y, x, v-s AS v FROM c3")
 
 
@@ -230,3 +257,48 @@ def r10(spark, d):
 @query("r10_failures", sql("SELECT count(*) AS images, count(*) FILTER (img%17=0) AS failures FROM (SELECT DISTINCT img FROM rgb)", **COLOUR))
 def r10_failures(spark, d):
     return image_files(spark, d).agg(F.count("*").alias("images"), F.count_if("failed").alias("failures"))
+
+
+WEIGHTS = "SELECT u, y, sum(cos(pi()*u*(2*(4*y+r)+1)/64)) AS c FROM range(8) a(u), range(8) b(y), range(4) e(r) GROUP BY ALL"
+COEFFICIENTS = "SELECT img, a.u, b.u AS w, round(sum(v*a.c*b.c),4) AS c FROM {src} t JOIN wt a ON a.y=t.y JOIN wt b ON b.y=t.x GROUP BY img, a.u, b.u"
+SIGNED = "SELECT img, CAST(sum(CASE WHEN c>m THEN CASE WHEN u=0 AND w=0 THEN -9223372036854775808::HUGEINT ELSE 1::HUGEINT<<CAST(63-8*u-w AS INT) END ELSE 0 END) AS BIGINT) AS sig FROM co JOIN (SELECT img, median(c) AS m FROM co GROUP BY img) USING (img) GROUP BY img"
+
+
+@query("c06_tile_signature", sql("SELECT img, sig FROM sg", "tiles", wt=WEIGHTS, co=COEFFICIENTS.format(src="tiles"), sg=SIGNED))
+def c06_tiles(spark, d):
+    return R.signature(tiles(spark, d))
+
+
+IMG = F.regexp_extract("path", "([0-9]+)[.]png$", 1).cast("long")
+
+
+@query("c06_image_signature", sql("SELECT img, CASE WHEN img%17<>0 THEN sig END AS sig FROM sg", **COLOUR, grey=B.CTE["grey"], wt=WEIGHTS, co=COEFFICIENTS.format(src="grey"), sg=SIGNED))
+def c06_images(spark, d):
+    """Signatures of PNG files; those cut off have none."""
+    at = temporary(spark, "images")
+    images.write_tiles(B.rgb_tiles(spark, d), at)
+    return images.signatures(files.read_images(spark, at, drop=None)).select(IMG.alias("img"), "sig")
+
+
+#: Copies of an image: as it is, brighter, and with fewer levels. SQL and column form.
+COPIES = {"{c}": lambda c: c, "least(255,{c}+12)": lambda c: F.least(F.lit(255), c + 12), "{c}//16*16+8": lambda c: F.floor(c / 16) * 16 + 8}
+COPIED = " UNION ALL ".join(f"SELECT img*3+{k} AS img, y, x, {', '.join(e.format(c=c) + ' AS ' + c for c in 'rgb')} FROM rgb" for k, e in enumerate(COPIES))
+
+
+@query("c06_near_images", sql("SELECT b.img, b.sig, NOT EXISTS (SELECT 1 FROM sg a WHERE a.img<b.img AND bit_count(xor(a.sig,b.sig))<=4) AS kept FROM sg b", **COLOUR, cp=COPIED, gr=B.CTE["grey"].replace("FROM rgb", "FROM cp"), wt=WEIGHTS, co=COEFFICIENTS.format(src="gr"), sg=SIGNED))
+def c06_near(spark, d):
+    """Near-duplicate images among PNG files of all colour tiles and two copies of each: the first of those within four bits stays."""
+    at, p, out = temporary(spark, "copies"), B.rgb_tiles(spark, d), None
+    for k, change in enumerate(COPIES.values()):
+        part = p.select((F.col("img") * 3 + k).alias("img"), "y", "x", *[change(F.col(c)).cast("int").alias(c) for c in "rgb"])
+        out = part if out is None else out.unionByName(part)
+    images.write_tiles(out, at, broken=None)
+    signed = cut(images.signatures(files.read_images(spark, at)).select(IMG.alias("doc_id"), "sig"))
+    return dedup.keep_first(signed).select(F.col("doc_id").alias("img"), "sig", "kept")
+
+
+@query("r08_codebook")
+def r08_codebook(spark, d):
+    """Palette of each colour tile over one codebook of all of them; tests compare with a plain assignment to the same centres."""
+    p = cut(B.rgb_tiles(spark, d))
+    return palette.palettes(p, palette.codebook(p))
