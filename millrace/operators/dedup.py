@@ -76,10 +76,12 @@ def near_signatures(sigs: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS
     """Pairs (a, b), a < b, of distinct signatures within k bits that share a key (`near_keys`).
 
     With more bands than k all pairs are found. By default a signature has 35 keys of 27 bits or more, so
-    10^9 signatures meet about ten others a key. Skewed keys are left to adaptive execution. With no more bands than k
-    (four bands of 16 bits) a key is one band, and some pairs at distance k are missed.
+    10^9 signatures meet about ten others a key. Keys met once, most of them, are left out before the join; skewed ones are left to
+    adaptive execution. With no more bands than k (four bands of 16 bits) a key is one band, and some pairs at
+    distance k are missed. A null signature is near nothing.
     """
-    rows = sigs.select("sig").distinct().select("sig", F.explode(near_keys(F.col("sig"), k, widths)).alias("key"))
+    rows = sigs.select("sig").where("sig is not null").distinct().select("sig", F.explode(near_keys(F.col("sig"), k, widths)).alias("key"))
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("met")).where("met > 1").select("key"), "key")
     a, b = rows.select(F.col("sig").alias("a"), "key"), rows.select(F.col("sig").alias("b"), "key")
     return a.join(b, "key").where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= k)).select("a", "b").distinct()
 
@@ -93,13 +95,19 @@ def similar_pairs(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS7)
 
 
 def keep_first(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS7) -> DataFrame:
-    """rows with `kept`: false where a row with a smaller id lies within k bits (one hop, order-independent)."""
+    """rows with `kept`: false where a row with a smaller id lies within k bits (one hop, order-independent).
+
+    Rows of one id don't drop each other. A null id is larger than any other: such a row goes if a row with an id is near,
+    and rows without ids don't drop each other. A null signature is near nothing, so its row stays.
+    """
     first = rows.groupBy("sig").agg(F.min("doc_id").alias("id"))
     p = near_signatures(rows, k, widths)
     both = p.union(p.select("b", "a"))
     near = both.join(first.select(F.col("sig").alias("b"), "id"), "b").groupBy("a").agg(F.min("id").alias("near"))
     low = first.join(near, first.sig == near.a, "left").select("sig", F.least("id", "near").alias("low"))
-    return rows.join(low, "sig").withColumn("kept", F.col("doc_id") <= F.col("low")).drop("low")
+    low = low.select("sig", F.col("low").alias("lowest id near"))
+    kept = F.coalesce(F.col("doc_id") <= F.col("lowest id near"), F.col("lowest id near").isNull())
+    return rows.join(low, "sig", "left").withColumn("kept", kept).drop("lowest id near")
 
 
 def pair_counts(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS7) -> DataFrame:
@@ -127,34 +135,36 @@ def drop_every_second(rows: DataFrame, ids: int = 1 << 16) -> DataFrame:
 
 
 def greedy_passes(rows: DataFrame, k: int = 4, widths: tuple[int, ...] = BANDS4, limit: int = 4000) -> DataFrame:
-    """rows with `kept` as an order-dependent removal leaves them.
+    """(doc_id, sig, kept), one row per row of rows, as an order-dependent removal leaves them.
 
     Pass 0 drops every second exact copy. Then one pass a band: survivors are bucketed by the band, and
     in a bucket, in id order, a survivor drops the later rows within k bits. Buckets of one row or more than `limit` are
     left alone, as in the removal that this reproduces: near copies that only such buckets hold stay. `keep_first` has no
-    such limit and finds every pair. Each pass ends in a checkpoint.
+    such limit and finds every pair. Rows are told apart by a number of their own, so ids may repeat or be null (nulls
+    come last, ties by signature); a null signature is in no bucket. Each pass ends in a checkpoint.
     """
     state = drop_every_second(rows.select("doc_id", "sig"))
+    state = cut(state.withColumn("kept", F.col("kept") | F.col("sig").isNull()).withColumn("row no", F.monotonically_increasing_id()))
     at = 0
 
-    def greedy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames), ignore_index=True).sort_values("doc_id")
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["no id", "id", "sig", "row no"])
         sig = pdf["sig"].to_numpy().view(np.uint64)
         kept = np.ones(len(sig), dtype=bool)
         for i in range(len(sig)):
             if kept[i]:
                 kept[i + 1 :] &= np.bitwise_count(sig[i + 1 :] ^ sig[i]) > k
-        yield pdf[["doc_id"]][~kept]
+        return pdf[["row no"]][~kept]
 
     for w in widths:
         band = F.shiftrightunsigned("sig", at).bitwiseAND(F.lit((1 << w) - 1))
-        live = state.where("kept").withColumn("band", band)
+        live = state.where("kept and sig is not null").select("row no", "sig", F.col("doc_id").isNull().alias("no id"), F.coalesce("doc_id", F.lit(0)).alias("id"), band.alias("band"))
         sized = live.groupBy("band").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= limit)).select("band")
-        gone = live.join(sized, "band").groupBy("band").applyInPandas(lambda key, pdf: next(greedy(iter([pdf]))), "doc_id long")
-        state = state.join(gone.withColumn("gone", F.lit(True)), "doc_id", "left").select("doc_id", "sig", (F.col("kept") & F.col("gone").isNull()).alias("kept"))
+        gone = live.join(sized, "band").groupBy("band").applyInPandas(greedy, "`row no` long")
+        state = state.join(gone.withColumn("gone", F.lit(True)), "row no", "left").select("row no", "doc_id", "sig", (F.col("kept") & F.col("gone").isNull()).alias("kept"))
         state = cut(state)
         at += w
-    return state
+    return state.drop("row no")
 
 
 def sampled(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:

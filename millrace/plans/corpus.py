@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
 from millrace.operators import dedup as D
+from millrace.operators import gates as G
+from millrace.operators import sketches as K
 from millrace.operators import splits as P
 from millrace.plans import bindings as B
 from millrace.plans.bindings import hash_sql, sql
-from millrace.sources.scratch import cut
+from millrace.sources import files
+from millrace.sources.scratch import cut, temporary
 
 QUERIES, ORACLES = {}, {}
 FAMILIES = {"gan": ["src5", "src6"], "sd1x": ["src10"], "modern_open": ["src15", "src16"], "commercial": []}
@@ -80,7 +83,8 @@ def c02(spark, d):
 
 @query("c03_full_recall", sql("SELECT doc_id, kept FROM k", **SIGS, k=kept_sql(NEAR)))
 def c03(spark, d):
-    return D.keep_first(signatures(spark, d), widths=D.BANDS5).select("doc_id", "kept")
+    """With the same keys as c02, which find every pair: five bands of 13 bits do so too, but a band's 8,192 values each meet in pairs."""
+    return D.keep_first(signatures(spark, d)).select("doc_id", "kept")
 
 
 @query("c01_greedy_passes")
@@ -254,11 +258,42 @@ def u1(spark, d):
 
 @query("j12_eval_sources_in_training", sql("SELECT dataset, count(*) AS n FROM done JOIN corpus USING (uid) WHERE split='train' AND dataset IN ('fr','es') GROUP BY dataset", "corpus", **ALL))
 def j12(spark, d):
+    """Training rows of two sources, as the check of `j12_gated_training` would count them."""
     tagged = spark.createDataFrame([("fr",), ("es",)], "dataset string")
     train = manifest(spark, d).where("split = 'train'").join(B.corpus(spark, d).select("uid", "dataset"), "uid")
     return train.join(F.broadcast(tagged), "dataset", "left_semi").groupBy("dataset").agg(F.count("*").alias("n"))
 
 
+@query("j12_gated_training", sql("SELECT uid, generator FROM done WHERE split='train'", "corpus", **ALL))
+def j12_gated(spark, d):
+    """The training rows, which the job hands out only if no generator kept for evaluation is among them."""
+    rows = manifest(spark, d)
+    train = rows.where("split = 'train'").select("uid", "generator")
+    return G.excluded(train, rows.where("split = 'logo' and label = 1").select("generator").distinct(), "generator", "evaluation source in training")
+
+
+@query("u3_gated_split", sql("SELECT uid, label, generator, split FROM done", "corpus", **ALL))
+def u3_gated(spark, d):
+    """The split, which the job hands out only if no generator is on two sides of it."""
+    rows = manifest(spark, d)
+    broken = P.leakage(rows.withColumn("sig", F.lit(None).cast("long"))).where("rule like '%_generators' and violations > 0")
+    return G.gate(rows, broken, "leaking split")
+
+
+@query("a02_distinct_sketched", sql(f"SELECT dataset, CAST(count(DISTINCT generator) AS BIGINT) AS generators, count(DISTINCT uid) AS uids, TRUE AS within FROM corpus GROUP BY dataset UNION ALL SELECT 'all', count(DISTINCT generator), count(DISTINCT uid), TRUE FROM corpus", "corpus"))
+def a02_sketched(spark, d):
+    """Distinct values from sketches kept by shard (source and language), saved, read again and merged by language and over all; few values count exactly, many within three standard errors."""
+    c, at = B.corpus(spark, d), temporary(spark, "sketches")
+    files.write_parquet(K.shard_sketches(c, ["dataset", "source"], {"g": F.col("generator"), "u": F.col("uid")}), at)
+    kept = spark.read.parquet(at)
+    by = K.merged(kept, ["dataset"], ["g", "u"])
+    whole = K.merged(by.withColumn("dataset", F.lit("all")), ["dataset"], ["g", "u"])
+    exact = lambda rows: rows.groupBy("dataset").agg(F.count_distinct("uid").alias("uids"))
+    counted = exact(c).unionByName(exact(c.withColumn("dataset", F.lit("all"))))
+    e = K.estimates(by.unionByName(whole), ["g", "u"]).join(counted, "dataset")
+    return e.select("dataset", F.col("g").alias("generators"), "uids", (F.abs(F.col("u") - F.col("uids")) <= K.error_bound() * F.col("uids")).alias("within"))
+
+
 @query("w12_top_groups", sql("SELECT dataset, generator, n FROM (SELECT dataset, generator, count(*) AS n FROM corpus WHERE label=1 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY n DESC, generator)<=3", "corpus"))
 def w12_top(spark, d):
     g = B.corpus(spark, d).where("label = 1").groupBy("dataset", "generator").agg(F.count("*").alias("n"))
