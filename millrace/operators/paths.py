@@ -76,6 +76,7 @@ def resize_plan(sizes: DataFrame) -> DataFrame:
 
 
 def inventory(files: DataFrame) -> DataFrame:
-    """(dataset, files, bytes, gb, mb_per_s) of files (dataset, bytes, seconds)."""
+    """(dataset, files, bytes, gb, seconds, mb_per_s) of files (dataset, bytes, modified): the time from the first file written to the last, a millisecond at least."""
+    seconds = F.greatest(F.max(F.unix_micros("modified")) - F.min(F.unix_micros("modified")), F.lit(1000)) / 1e6
     mb = F.sum("bytes") / 1e6
-    return files.groupBy("dataset").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.round(F.sum("bytes") / 1e9, 9).alias("gb"), F.round(F.try_divide(mb, F.sum("seconds")), 6).alias("mb_per_s"))
+    return files.groupBy("dataset").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.round(F.sum("bytes") / 1e9, 9).alias("gb"), seconds.alias("seconds"), F.round(mb / seconds, 6).alias("mb_per_s"))

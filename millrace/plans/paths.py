@@ -34,9 +34,14 @@ EXT = "lower(regexp_extract(path,'(\\.[^./]+)$',1))"
 FOLDER = f"list_filter([CASE WHEN regexp_replace(lower(p),'[ -]','_','g') IN ({quoted(P.AI_FOLDERS)}) THEN 1 WHEN regexp_replace(lower(p),'[ -]','_','g') IN ({quoted(P.REAL_FOLDERS)}) THEN 0 END FOR p IN string_split(path,'/')], lambda x: x IS NOT NULL)[1]"
 
 
-@query("p01_uid", sql("SELECT page_id, 'documents/shard/'||page_id AS uid FROM paths", "paths"))
+@query("p01_uid", "SELECT page_id, uid FROM (SELECT page_id, 'pages/shard-'||(page_id%4)||'/'||(row_number() OVER (PARTITION BY page_id%4 ORDER BY page_id)-1) AS uid FROM pages) WHERE page_id%17<>0")
 def p01(spark, d):
-    return B.paths(spark, d).select("page_id", F.concat_ws("/", F.lit("documents"), F.lit("shard"), F.col("page_id").cast("string")).alias("uid"))
+    """Rows of shards on disk: file and place name a row, counting those that fail (no content here) and are dropped afterwards."""
+    at = temporary(spark, "shards")
+    body = F.when(F.col("page_id") % 17 != 0, F.col("html"))
+    rows = B.read(spark, d, "pages").select("page_id", body.alias("html"), F.concat(F.lit("shard-"), (F.col("page_id") % 4).cast("string")).alias("shard"))
+    files.write_shards(rows, at, "shard", ["page_id"]).agg(F.count("*")).collect()
+    return files.scan_rows(spark, at, "pages").where("html is not null").select("page_id", "uid")
 
 
 @query("p03_canon_version", sql("SELECT page_id, CASE WHEN page_id%2=0 THEN 'v1-crop256-q95' ELSE 'v2-resize256-q95' END AS canon_version FROM paths", "paths"))
@@ -125,9 +130,22 @@ def p18(spark, d):
     return P.collision_names(f, "class").select("page_id", "link")
 
 
-@query("s03_files_by_extension", sql(f"SELECT page_id, path FROM paths WHERE {EXT} IN ({quoted(P.IMAGE_TYPES)}) AND NOT list_contains(string_split(path,'/'),'misc')", "paths"))
+FILED = "SELECT page_id, regexp_extract(path,'^/corpus/(.*/)[^/]*$',1)||page_id||regexp_extract(path,'(\\.[^.]+)$',1) AS name, strlen(html) AS bytes FROM paths JOIN pages USING (page_id)"
+
+
+def page_files(spark, d) -> str:
+    """Pages as files in folders by class and language, with several extensions; the folder they are in."""
+    at, p = temporary(spark, "files"), F.col("path")
+    name = F.concat(F.regexp_extract(p, "^/corpus/(.*/)[^/]*$", 1), F.col("page_id").cast("string"), F.regexp_extract(p, r"(\.[^.]+)$", 1))
+    rows = B.paths(spark, d).join(B.read(spark, d, "pages").select("page_id", "html"), "page_id")
+    files.write_files(rows.select(name.alias("name"), F.col("html").cast("binary").alias("body")), at).agg(F.count("*")).collect()
+    return at
+
+
+@query("s03_files_by_extension", sql(f"SELECT name, bytes FROM f WHERE lower(regexp_extract(name,'(\\.[^./]+)$',1)) IN ({quoted(P.IMAGE_TYPES)}) AND NOT starts_with(name,'misc/')", "paths", f=FILED))
 def s03(spark, d):
-    return P.listed(B.paths(spark, d), P.IMAGE_TYPES, ("misc",)).select("page_id", "path")
+    """A listing of files on disk; no content is read."""
+    return files.listing(spark, page_files(spark, d), P.IMAGE_TYPES, ("Misc",)).select("name", "bytes")
 
 
 @query("s11_checksums", "SELECT page_id, sha256(html) AS sha, page_id IN (SELECT doc_id FROM labels WHERE toxic=1) AS mismatch FROM pages WHERE page_id IN (SELECT doc_id FROM labels)")
@@ -143,10 +161,20 @@ def s11(spark, d):
     return checked.select(F.regexp_extract("name", "([0-9]+)[.]html", 1).cast("long").alias("page_id"), "sha", "mismatch")
 
 
-@query("s12_inventory", sql("SELECT list_extract(string_split(path,'/'),3) AS dataset, count(*) AS files, sum(bytes) AS bytes, round(sum(bytes)/1e9,9) AS gb, round(sum(bytes)/1e6/(count(*)*0.25::DOUBLE),6) AS mb_per_s FROM paths GROUP BY 1", "paths"))
+def inventoried(spark, d):
+    found = files.listing(spark, page_files(spark, d))
+    return P.inventory(found.select(F.get(F.split("name", "/"), F.lit(0)).alias("dataset"), "bytes", "modified"))
+
+
+@query("s12_inventory", sql("SELECT split_part(name,'/',1) AS dataset, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, round(sum(bytes)/1e9,9) AS gb, TRUE AS timed FROM f GROUP BY 1", "paths", f=FILED))
 def s12(spark, d):
-    """A file is taken to have been fetched in a quarter of a second."""
-    return P.inventory(B.paths(spark, d).select(F.get(F.split("path", "/"), F.lit(2)).alias("dataset"), "bytes", F.lit(0.25).alias("seconds")))
+    return inventoried(spark, d).select("dataset", "files", "bytes", "gb", (F.col("mb_per_s") > 0).alias("timed"))
+
+
+@query("s12_rates")
+def s12_rates(spark, d):
+    """With the rate, which the files' own times decide and no SQL can know; a test sets the times."""
+    return inventoried(spark, d)
 
 
 @query("a24_group_verdict", sql("""SELECT artist, top_path, CASE WHEN share=1 THEN 'Yes' WHEN share=0 THEN 'No' ELSE 'Mixed' END AS verdict FROM (SELECT split_part(path,'/',4) AS artist, arg_max(path, p*1000000-page_id) AS top_path, avg(CASE WHEN p>=0.5::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS share FROM q GROUP BY 1)""", "paths", q="SELECT *, (page_id*7919%100)/100.0::DOUBLE AS p FROM paths"))

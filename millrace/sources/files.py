@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.columns import extension, stem
+
 #: Column names that hold an id or a label.
 ID_NAMES = ("id", "filename", "file_name", "image", "image_id", "path")
 LABEL_NAMES = ("label", "class", "target", "y", "is_ai")
@@ -25,6 +28,72 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*.parquet", limit
     return [r[0] for r in (rows.limit(limit) if limit is not None else rows).collect()]
 
 
+def listing(spark: SparkSession, root: str, types: Sequence[str] = (), excluded: Sequence[str] = ()) -> DataFrame:
+    """(path, name, bytes, modified) of the files below root: `name` is the path below it. No content is read.
+
+    Empty files are left out, as Spark's file sources do. types: extensions that are taken, dot included, in any case (none: all files). excluded: folders below root, in any case, whose files
+    are left out at any depth.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
+    name = F.substr("path", F.lit(len(top) + 2))
+    rows = found.select("path", name.alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    if types:
+        rows = rows.where(extension(F.col("path")).isin([t.lower() for t in types]))
+    if excluded:
+        folders = F.split(F.lower(F.regexp_extract("name", "^(.*)/[^/]*$", 1)), "/")
+        rows = rows.where(~F.arrays_overlap(folders, F.array(*[F.lit(e.lower()) for e in excluded])))
+    return rows
+
+
+def write_shards(df: DataFrame, root: str, shard: str, order: Sequence[str], name: str = "%s.parquet") -> DataFrame:
+    """Write one Parquet file per value of `shard`, named by it, rows in `order`, when the result (name, rows) is read.
+
+    A shard is written by one task, a batch at a time, so its size bounds no memory; a task that runs again writes the same
+    file. The shard's own column isn't stored.
+    """
+    kept = [f for f in df.schema.fields if f.name != shard]
+    columns = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        system.create_dir(base, recursive=True)
+        now, out, rows, done = None, None, 0, []
+        for batch in batches:
+            names = batch.column(0)
+            edges = [0, *(np.flatnonzero(pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)) + 1), batch.num_rows]
+            for a, z in zip(edges, edges[1:], strict=False):
+                if a == z:
+                    continue
+                part = pa.RecordBatch.from_arrays(batch.columns[1 : 1 + len(columns)], names=columns).slice(a, z - a)
+                if names[int(a)].as_py() != now:
+                    if out:
+                        out.close()
+                        done.append((now, rows))
+                    now, rows = names[int(a)].as_py(), 0
+                    out = pq.ParquetWriter(f"{base}/{now}", part.schema, filesystem=system, compression="zstd")
+                out.write_batch(part)
+                rows += part.num_rows
+        if out:
+            out.close()
+            done.append((now, rows))
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([r for _, r in done], pa.int64())], names=["name", "rows"])
+
+    named = df.select(F.format_string(name, F.col(shard).cast("string")).alias("shard file"), *columns, *[F.col(c).alias(f"order {c}") for c in order])
+    return named.repartition("shard file").sortWithinPartitions("shard file", *[f"order {c}" for c in order]).mapInArrow(run, "name string, rows long")
+
+
+def scan_rows(spark: SparkSession, root: str, dataset: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows of the shards below root with `uid`: dataset / file name without extension / place in the file.
+
+    Places count every row of the file, so they stay the same whatever is filtered later and however the scan is split.
+    """
+    df = spark.read.option("recursiveFileLookup", True).parquet(root)
+    uid = F.concat_ws("/", F.lit(dataset), stem(F.col("_metadata.file_name")), F.col("_metadata.row_index").cast("string"))
+    return df.select(uid.alias("uid"), *(columns or df.columns))
+
+
 def scan_shards(spark: SparkSession, root: str, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """The shards below root, in sorted order and cut to the first `limit` files; only `columns` are read."""
     if limit is None:
@@ -66,8 +135,12 @@ def write_files(rows: DataFrame, root: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(root)
         system.create_dir(base, recursive=True)
+        made: set[str] = set()
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if "/" in name and (folder := name.rsplit("/", 1)[0]) not in made:
+                    system.create_dir(f"{base}/{folder}", recursive=True)
+                    made.add(folder)
                 with system.open_output_stream(f"{base}/{name}") as out:
                     out.write(body or b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.fill_null(pc.binary_length(batch.column(1)), 0), pa.int64())], names=["name", "bytes"])
