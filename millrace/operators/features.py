@@ -68,6 +68,23 @@ def mean_abs_z(scaler: DataFrame | None, columns: list[str]) -> Column:
     return total / len(columns)
 
 
+def signal_z(df: DataFrame, chain: list[list[str]], raw: tuple[str, ...] = ()) -> Column:
+    """Mean |z| over the first choice of `chain` of which any column exists in df (with its moments mu_, sd_); columns that don't exist, or have no value here or in the reference, are left out of the mean.
+
+    With no choice present it is LARGEST_Z times the first of the `raw` columns that exists, or 0.
+    """
+    have = set(df.columns)
+    for choice in chain:
+        there = [c for c in choice if {c, f"mu_{c}", f"sd_{c}"} <= have]
+        if there:
+            off = {c: F.abs(F.col(c) - F.col(f"mu_{c}")) for c in there}
+            z = [F.when(F.col(f"sd_{c}") < 1e-6, F.when(off[c] < 1e-6, F.lit(0.0)).when(off[c].isNotNull(), LARGEST_Z)).otherwise(off[c] / F.col(f"sd_{c}")) for c in there]
+            total = sum((F.coalesce(x, F.lit(0.0)) for x in z), F.lit(0.0))
+            return F.coalesce(F.try_divide(total, sum((x.isNotNull().cast("double") for x in z), F.lit(0.0))), F.lit(0.0))
+    of = next((c for c in raw if c in have), None)
+    return F.coalesce(F.col(of), F.lit(0.0)) * LARGEST_Z if of else F.lit(0.0)
+
+
 def raw_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.avg(c).alias(f"mu_{c}") for c in columns], *[F.stddev_pop(c).alias(f"sd_{c}") for c in columns])
 

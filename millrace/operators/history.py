@@ -41,6 +41,19 @@ def selected(df: DataFrame, by: str, metric: str) -> DataFrame:
     return df.groupBy("tag").agg(F.when(whole, row).alias("r")).select("tag", F.col("r.epoch").alias("epoch"), F.col("r.value").alias("value"))
 
 
+def selection_stats(df: DataFrame, by: str, metric: str, k: int = 5) -> DataFrame:
+    """One row a tag: the best, last and last-k values of `metric`, its deviations, and the epoch that `by` selects with both values there (null if any `by` is missing)."""
+    late = last_k(df, metric, k).select("tag", F.col("last_mean").alias("last5_mean"), F.col("last_std").alias("last5_sd"), F.col("all_std").alias("all_sd"))
+    best = best_epoch(df, metric).select("tag", F.col("best").alias("best_logo"), F.col("best_epoch").alias("best_logo_epoch"))
+    final = df.groupBy("tag").agg(F.max_by(metric, "epoch").alias("final_logo"))
+    chosen = selected(df, by, metric).select("tag", F.col("epoch").alias("val_selected_epoch"), F.col("value").alias("val_selected_logo"))
+    value = df.groupBy("tag").agg(F.when(F.count_if(F.col(by).isNull()) == 0, F.max(by)).alias("val_selected_val"))
+    out = best
+    for part in (final, late, chosen, value):
+        out = out.join(part, "tag")
+    return out
+
+
 def family(df: DataFrame) -> DataFrame:
     """Adds the arm's family and variant name to runs (frozen, head, feature_dim, lr)."""
     kind = F.when(F.col("feature_dim") > 0, "fusion").otherwise(F.col("head"))

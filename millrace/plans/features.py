@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
 from millrace.operators import features as X
+from millrace.operators import gates as G
 from millrace.operators.splits import require_coverage
 from millrace.plans import bindings as B
 from millrace.plans.bindings import FEATURES, sql
@@ -117,6 +118,18 @@ def a23(spark, d):
     return wide.select("uid", *[C.r6(X.mean_abs_z(None, cs)).alias(f"z_{n}") for n, cs in SIGNALS.items()])
 
 
+CHAIN, RAW_SHARE = [["f_upper", "f_lines"], ["f_words"]], ("f_share",)
+
+
+@query("a23_fallback_chain", sql(f"SELECT uid, round(({z_sql('f_upper')}+{z_sql('f_lines')})/2,6) AS z_whole, round({z_sql('f_lines')},6) AS z_part, round({z_sql('f_words')},6) AS z_second, round(f_upper/f_chars*3,6) AS z_raw, 0.0::DOUBLE AS z_none FROM features, m", "features", m=RAW))
+def a23_chain(spark, d):
+    """The third signal from tables that lack some of its columns: all there, one missing, the first choice missing, both choices missing, nothing at all."""
+    f = B.features(spark, d).withColumn("f_share", F.try_divide("f_upper", "f_chars"))
+    wide = f.crossJoin(F.broadcast(X.raw_moments(f, FEATURES)))
+    lacks = {"z_whole": [], "z_part": ["f_upper"], "z_second": ["f_upper", "f_lines"], "z_raw": ["f_upper", "f_lines", "f_words"], "z_none": ["f_upper", "f_lines", "f_words", "f_share"]}
+    return wide.select("uid", *[C.r6(X.signal_z(wide.drop(*gone), CHAIN, RAW_SHARE)).alias(n) for n, gone in lacks.items()])
+
+
 @query("p14_signal_buckets", sql("SELECT uid, " + ", ".join(f"s_{n}, l_{n}" for n in SIGNALS) + " FROM b", "features", **SIGNAL))
 def p14(spark, d):
     f = B.features(spark, d)
@@ -217,6 +230,5 @@ def p22(spark, d):
     z = X.standardized(f.drop("label", "uid"), X.fit_scaler(f, FEATURES), FEATURES)
     j = B.read(spark, d, "embeddings").join(z, F.col("vec_id") == F.col("doc_id"))
     v = F.concat(F.transform("embedding", lambda x: x.cast("double")), F.array(*FEATURES))
-    checked = F.when(F.size(v) == 64 + len(FEATURES), v).otherwise(F.raise_error(F.lit("unexpected width")).cast("array<double>"))
-    w = j.select("vec_id", checked.alias("v"))
+    w = G.measured(j.select("vec_id", v.alias("v")), "v", 64 + len(FEATURES))
     return w.select("vec_id", F.size("v").alias("width"), C.r6(F.get("v", F.lit(0))).alias("v0"), C.r6(F.get("v", F.lit(68))).alias("v68"))

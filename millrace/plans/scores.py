@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
+from millrace.operators import history as H
 from millrace.operators import scores as S
 from millrace.plans import bindings as B
 from millrace.plans.bindings import sql
@@ -243,7 +244,19 @@ def q4(spark, d):
     return pick("val").join(pick("logo"), "tag").join(best.select("tag", F.col("threshold").alias("threshold_logo"), F.col("accuracy").alias("accuracy_best"), F.col("recall_ai").alias("recall_best")), "tag")
 
 
-@query("q7_metric_table", ranked(f"SELECT r.*, {', '.join('m.' + k for k in METRIC_SQL)}, m.tn, m.fp, m.fn, m.tp FROM (SELECT {K}, {AUC} AS auc, {AP} AS ap, {BRIER} AS brier, CAST(min(np)+min(nn) AS BIGINT) AS n FROM cum GROUP BY {K}) r JOIN m USING ({K})", c=COUNTED, m=f"SELECT *, {METRICS} FROM c"))
+#: Whose history goes with whose scores.
+RUN_OF = {"a": "click", "b": "view"}
+SELECTION = f"""SELECT CASE tag {' '.join(f"WHEN '{r}' THEN '{m}'" for m, r in RUN_OF.items())} END AS tag, max(logo_auc) AS best_logo, min(epoch) FILTER (r_logo=1) AS best_logo_epoch, max(logo_auc) FILTER (k=1) AS final_logo, round(avg(logo_auc) FILTER (k<=5),6) AS last5_mean,
+ round(stddev_pop(logo_auc) FILTER (k<=5),6) AS last5_sd, round(stddev_pop(logo_auc),6) AS all_sd, min(epoch) FILTER (r_val=1) AS val_selected_epoch, max(logo_auc) FILTER (r_val=1) AS val_selected_logo, max(val_auc) AS val_selected_val
+ FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY epoch DESC) AS k, row_number() OVER (PARTITION BY tag ORDER BY logo_auc DESC, epoch) AS r_logo, row_number() OVER (PARTITION BY tag ORDER BY val_auc DESC, epoch) AS r_val FROM history) WHERE tag IN ({', '.join(f"'{r}'" for r in RUN_OF.values())}) GROUP BY tag"""
+SELECTED = ["best_logo", "best_logo_epoch", "final_logo", "last5_mean", "last5_sd", "all_sd", "val_selected_epoch", "val_selected_logo", "val_selected_val"]
+
+
+@query("q7_metric_table", ranked(f"SELECT r.*, {', '.join('m.' + k for k in METRIC_SQL)}, m.tn, m.fp, m.fn, m.tp, {', '.join('s.' + c for c in SELECTED)} FROM (SELECT {K}, {AUC} AS auc, {AP} AS ap, {BRIER} AS brier, {MAJORITY} AS majority, CAST(min(np)+min(nn) AS BIGINT) AS n FROM cum GROUP BY {K}) r JOIN m USING ({K}) LEFT JOIN se s ON s.tag=r.tag AND r.split='logo'", c=COUNTED, m=f"SELECT *, {METRICS} FROM c", history=B.CTE["history"], se=SELECTION))
 def q7(spark, d):
+    """All metrics by model and split; held-out rows also have what their run's history selects."""
     rows = long_rows(spark, d)
-    return S.ranking(rows, KEYS).select(*KEYS, "auc", "ap", "brier", "n").join(S.threshold_metrics(S.confusion(rows, KEYS)), KEYS)
+    table = S.ranking(rows, KEYS).select(*KEYS, "auc", "ap", "brier", "majority", "n").join(S.threshold_metrics(S.confusion(rows, KEYS)), KEYS)
+    names = F.create_map(*[F.lit(x) for m, r in RUN_OF.items() for x in (r, m)])
+    stats = H.selection_stats(B.history(spark, d), "val_auc", "logo_auc").withColumn("tag", names[F.col("tag")]).where("tag is not null").withColumn("split", F.lit("logo"))
+    return table.join(stats, KEYS, "left")

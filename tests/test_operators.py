@@ -213,9 +213,10 @@ def test_probe_projection_and_batch_scores_equal_numpy(spark):
     for k in range(2):
         mine, theirs = np.array([points[i][k] for i in range(200)]), c @ vt[k]
         assert np.allclose(mine, theirs, atol=1e-6) or np.allclose(mine, -theirs, atol=1e-6)
-    scored = {r["id"]: r["p"] for r in models.batch_scores(df, lambda: lambda m: m.mean(axis=1)).collect()}
+    scored = {r["id"]: r["p"] for r in models.batch_scores(df, lambda: lambda m: m.mean(axis=1), 4).collect()}
     assert np.allclose([scored[i] for i in range(200)], x.mean(1))
-    heads = models.heads(df.where("id < 150").withColumn("f", F.array("y")).withColumn("f", F.transform("f", lambda v: v.cast("double"))), df.where("id >= 150").withColumn("f", F.array(F.lit(0.0))), 4, 1, 3)
+    told = df.withColumn("f", F.array(F.col("y").cast("double")))
+    heads = models.heads(told.where("id < 120"), told.where("id between 120 and 149"), df.where("id >= 150").withColumn("f", F.array(F.lit(0.0))), 4, 1, 3)
     assert {r["head"]: r["count"] for r in heads.groupBy("head").count().collect()} == {"linear": 50, "mlp": 50, "fusion": 50}
 
 
