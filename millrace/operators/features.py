@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import sanitized, signal_bucket
-from millrace.operators.running import exact_quantiles
+from millrace.operators.running import exact_quantiles, null_safe
 
 #: Verdicts.
 AI_VERDICTS = ("Strong AI likelihood", "Moderate AI likelihood", "Leaning AI, but the forensic cues are mixed")
@@ -41,10 +41,10 @@ def described(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def class_histograms(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
-    """(feature, label, bin, n): equal bins over each class's own range, the last one closed."""
-    long = df.select("label", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in columns])).alias("e")).select("label", "e.*")
+    """(feature, label, bin, n): equal bins over each class's own range, the last one closed. Nulls and NaN are in no bin."""
+    long = df.select("label", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in columns])).alias("e")).select("label", "e.*").where("v is not null and not isnan(v)")
     span = long.groupBy("feature", "label").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    j = long.join(F.broadcast(span), ["feature", "label"])
+    j = null_safe(long, span, ["feature", "label"])
     k = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins), F.floor((F.col("v") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))) + 1)).otherwise(1)
     return j.groupBy("feature", "label", k.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 

@@ -15,15 +15,16 @@ def last_k(df: DataFrame, metric: str, k: int = 5) -> DataFrame:
 
 
 def best_epoch(df: DataFrame, metric: str) -> DataFrame:
-    """The first epoch of the largest value, by tag."""
-    return df.groupBy("tag").agg(F.min_by("epoch", F.struct(-F.col(metric), F.col("epoch"))).alias("best_epoch"), F.max(metric).alias("best"))
+    """The first epoch of the largest value, by tag; null values are never the best, and both columns are null where all are."""
+    there = F.when(F.col(metric).isNotNull(), F.struct(-F.col(metric), F.col("epoch")))
+    return df.groupBy("tag").agg(F.min_by("epoch", there).alias("best_epoch"), F.max(metric).alias("best"))
 
 
 def running_best(df: DataFrame, metric: str, min_delta: float = 0.0) -> DataFrame:
-    """Each epoch's best before it, and whether it improves on it by more than min_delta."""
+    """Each epoch's best before it, and whether it improves on it by more than min_delta; a null value improves on nothing."""
     before = Window.partitionBy("tag").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
     best = F.max(metric).over(before)
-    return df.withColumn("best_before", best).withColumn("improved", F.coalesce(F.col(metric) > F.col("best_before") + min_delta, F.lit(True)))
+    return df.withColumn("best_before", best).withColumn("improved", F.col(metric).isNotNull() & F.coalesce(F.col(metric) > F.col("best_before") + min_delta, F.lit(True)))
 
 
 def early_stop(df: DataFrame, metric: str, patience: int) -> DataFrame:

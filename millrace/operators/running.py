@@ -1,6 +1,6 @@
 """Running sums and exact quantiles over a value in groups of any size: no task holds a whole group.
 
-Values are cut into ranges by a fixed increasing function; the ranges' sums, a few thousand rows a group at
+Values are cut into ranges by a fixed increasing function; the ranges' sums, some ten thousand rows a group at
 most, give each range its start, and windows run inside (group, range) alone.
 """
 
@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS = 64
+STEPS = 1024
 NONE = -(1 << 31)
 
 
 def value_range(v: Column) -> Column:
-    """Ranges of a number: 64 for each doubling of its size, on either side of zero."""
+    """Ranges of a number: STEPS for each doubling of its size, on either side of zero."""
     size = F.floor(F.log2(F.greatest(F.abs(v), F.lit(1e-300))) * STEPS) + 1100 * STEPS
     return F.coalesce(F.when(v < 0, -size).when(v > 0, size).otherwise(0), F.lit(NONE)).cast("int")
 

@@ -22,7 +22,7 @@ def long_scores(df: DataFrame, models: dict[str, str], keep: list[str]) -> DataF
 
 
 def confusion(df: DataFrame, keys: list[str], threshold: float | Column = 0.5) -> DataFrame:
-    """tn, fp, fn, tp by key; a row is positive at p >= threshold."""
+    """tn, fp, fn, tp by key; a row is positive at p >= threshold. Rows without y or p count nowhere."""
     hit = F.col("p") >= threshold
     count = lambda c: F.count_if(c)
     return df.groupBy(*keys).agg(
@@ -44,8 +44,8 @@ def threshold_metrics(counts: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Positives and negatives by key and distinct score."""
-    return df.groupBy(*keys, "p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    """Positives and negatives by key and distinct score; rows without y or a score are left out, a key that has no others too."""
+    return df.where("y is not null and p is not null and not isnan(p)").groupBy(*keys, "p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
 
 
 def cumulative(hist: DataFrame, keys: list[str]) -> DataFrame:

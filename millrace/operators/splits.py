@@ -10,17 +10,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import portable_hash
+from millrace.operators.running import null_safe
 from millrace.sources.scratch import cut
 
 
 def hash_rank(df: DataFrame, group: list[str], key: str, seed: int | str, name: str = "rank") -> DataFrame:
-    """Add the 0-based rank of the key's hash within its group: ranks in 64 ranges of the hash, plus the rows before."""
-    d = df.withColumn("_h", portable_hash(F.col(key), seed)).withColumn("_b", F.shiftright("_h", 54))
-    keys = [*group, "_b"]
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offset = d.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", key)) - 1
-    return d.withColumn("_r", inside).join(offset, keys).withColumn(name, F.col("_r") + F.col("_o")).drop("_h", "_b", "_r", "_o")
+    """Add the 0-based rank of the key's hash within its group: ranks in 4,096 ranges of the hash, plus the rows before.
+
+    Null groups are a group, rows without a key come last in theirs, and rows of equal key follow each other in any order. Every
+    row stays.
+    """
+    d = df.withColumn("hash of key", F.coalesce(portable_hash(F.col(key), seed), F.lit(1 << 60))).withColumn("range of", F.shiftright("hash of key", 48))
+    keys = [*group, "range of"]
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("range of").rowsBetween(Window.unboundedPreceding, -1)
+    offset = d.groupBy(*keys).agg(F.count("*").alias("n in")).select(*keys, F.coalesce(F.sum("n in").over(before), F.lit(0)).alias("n before"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("hash of key", key)) - 1
+    ranked = null_safe(d.withColumn("rank in", inside), offset, keys)
+    return ranked.withColumn(name, F.col("rank in") + F.col("n before")).drop("hash of key", "range of", "rank in", "n before")
 
 
 def with_total(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -30,8 +36,8 @@ def with_total(df: DataFrame, value: Column, name: str) -> DataFrame:
 
 def capped(df: DataFrame, group: str, key: str, share: int, seed: int | str) -> DataFrame:
     """Add `over`: beyond the first cap = max(1, rows / share) rows of its group, in hash order."""
-    r = with_total(hash_rank(df, [group], key, seed), F.greatest(F.lit(1), F.floor(F.count("*") / share)), "_cap")
-    return r.withColumn("over", F.col("rank") >= F.col("_cap")).drop("rank", "_cap")
+    r = with_total(hash_rank(df, [group], key, seed, "rank in group"), F.greatest(F.lit(1), F.floor(F.count("*") / share)), "cap of group")
+    return r.withColumn("over", F.col("rank in group") >= F.col("cap of group")).drop("rank in group", "cap of group")
 
 
 def allocated(df: DataFrame, group: str, percent: int, seed: int | str) -> DataFrame:
@@ -43,9 +49,10 @@ def allocated(df: DataFrame, group: str, percent: int, seed: int | str) -> DataF
 
 
 def balanced(df: DataFrame, label: str, key: str, seed: int | str) -> DataFrame:
-    """Add `over`: beyond the size of the smaller class, in hash order within its class."""
-    sizes = df.agg(F.least(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).alias("_k"))
-    return hash_rank(df, [label], key, seed).crossJoin(F.broadcast(sizes)).withColumn("over", F.col("rank") >= F.col("_k")).drop("rank", "_k")
+    """Add `over`: beyond the size of the smaller class (0 or 1), in hash order within its class. A null label is a class of its own, cut alike."""
+    sizes = df.agg(F.least(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).alias("size of class"))
+    ranked = hash_rank(df, [label], key, seed, "rank in class").crossJoin(F.broadcast(sizes))
+    return ranked.withColumn("over", F.col("rank in class") >= F.col("size of class")).drop("rank in class", "size of class")
 
 
 def held_out(groups: DataFrame, families: dict[str, list[str]], most: int = 3, tagged: str = "commercial") -> DataFrame:
