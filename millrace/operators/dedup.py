@@ -28,8 +28,8 @@ BANDS7 = (10, 9, 9, 9, 9, 9, 9)
 _SPACES = bytes.maketrans(b"\t\n\r", b"   ")
 
 
-def signature(text: bytes, bits: int = 60) -> int:
-    """Bit majority over the distinct 3-word shingles' md5 prefixes; fewer words are one shingle, none give 0."""
+def signature(text: bytes, bits: int = 64) -> int:
+    """As a signed number: bit majority over the distinct 3-word shingles' md5 prefixes; fewer words are one shingle, none give 0."""
     w = [x for x in text.translate(_SPACES).split(b" ") if x]
     if not w:
         return 0
@@ -40,10 +40,10 @@ def signature(text: bytes, bits: int = 60) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
-def text_signature(docs: DataFrame, bits: int = 60) -> DataFrame:
+def text_signature(docs: DataFrame, bits: int = 64) -> DataFrame:
     """(doc_id, sig) of every row of docs (doc_id, text): `signature` of the lower-cased text as a long.
 
     Texts without words, null ones too, have signature 0 and are copies of each other. One pass, no shuffle:

@@ -31,8 +31,8 @@ def query(name: str, oracle: str | None = None):
 
 SHINGLES = """SELECT DISTINCT doc_id, unnest(CASE WHEN len(w)>=3 THEN [w[i]||' '||w[i+1]||' '||w[i+2] FOR i IN range(1,len(w)-1)] ELSE [array_to_string(w,' ')] END) AS s
  FROM (SELECT doc_id, list_filter(string_split_regex(lower(text),'[ \\t\\n\\r]+'), lambda x: x<>'') AS w FROM documents) WHERE len(w)>0"""
-HASHED = "SELECT doc_id, CAST('0x'||substr(md5(s),1,15) AS BIGINT) AS h FROM shingles"
-SIGNED = "SELECT doc_id, " + "+".join(f"CASE WHEN sum((h>>{k})&1)*2>count(*) THEN {1 << k} ELSE 0 END::BIGINT" for k in range(60)) + " AS sig FROM hashed GROUP BY doc_id UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM shingles)"
+HASHED = "SELECT doc_id, CAST('0x'||substr(md5(s),1,16) AS UBIGINT) AS h FROM shingles"
+SIGNED = "SELECT doc_id, CAST(" + "+".join(f"CASE WHEN sum(CAST((h>>{k})&1 AS INT))*2>count(*) THEN {1 << k if k < 63 else -(1 << 63)}::HUGEINT ELSE 0 END" for k in range(64)) + " AS BIGINT) AS sig FROM hashed GROUP BY doc_id UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM shingles)"
 SIGS = dict(shingles=SHINGLES, hashed=HASHED, sigs=SIGNED)
 
 
@@ -52,10 +52,10 @@ def c06(spark, d):
     return signatures(spark, d)
 
 
-@query("p23_popcount_bands", sql("SELECT doc_id, CAST(bit_count(xor(sig, 1152921504606846975)) AS INT) AS zeros, sig&65535 AS b0, (sig>>16)&65535 AS b1, (sig>>32)&65535 AS b2, (sig>>48)&65535 AS b3 FROM sigs", **SIGS))
+@query("p23_popcount_bands", sql("SELECT doc_id, CAST(bit_count(xor(sig, -1)) AS INT) AS zeros, sig&65535 AS b0, (sig>>16)&65535 AS b1, (sig>>32)&65535 AS b2, (sig>>48)&65535 AS b3 FROM sigs", **SIGS))
 def p23(spark, d):
     s = signatures(spark, d).withColumn("b", C.bands(F.col("sig")))
-    return s.select("doc_id", C.hamming(F.col("sig"), F.lit((1 << 60) - 1)).cast("int").alias("zeros"), *[F.get("b", F.lit(k))["value"].alias(f"b{k}") for k in range(4)])
+    return s.select("doc_id", C.hamming(F.col("sig"), F.lit(-1).cast("long")).cast("int").alias("zeros"), *[F.get("b", F.lit(k))["value"].alias(f"b{k}") for k in range(4)])
 
 
 PAIRS = f"SELECT least(x.id,y.id) AS id_a, greatest(x.id,y.id) AS id_b, CAST(bit_count(xor(a.sig,b.sig)) AS INT) AS distance FROM f a JOIN f b ON a.sig<b.sig AND {NEAR} JOIN f x ON x.sig=a.sig JOIN f y ON y.sig=b.sig"

@@ -225,9 +225,9 @@ def r07(spark, d):
     return R.chroma(B.rgb_tiles(spark, d))
 
 
-def on_grey(name: str) -> str:
-    """The SQL of a query over grey tiles, over the luma of the colour tiles instead."""
-    return ORACLES[name].replace(f"tiles AS ({B.CTE['tiles']})", f"raw AS ({B.CTE['tiles']}), rgb AS ({B.CTE['rgb']}), tiles AS ({B.CTE['grey']})")
+def on_grey(query: str) -> str:
+    """The SQL of a query over grey tiles (or its name), over the luma of the colour tiles instead."""
+    return ORACLES.get(query, query).replace(f"tiles AS ({B.CTE['tiles']})", f"raw AS ({B.CTE['tiles']}), rgb AS ({B.CTE['rgb']}), tiles AS ({B.CTE['grey']})")
 
 
 #: The columns of the feature job: query, or its form over the luma, and names there and in the job.
@@ -235,7 +235,7 @@ SAME = lambda *names: {n: n for n in names}
 JOB = {
     ORACLES["r01_pixel_stats"]: SAME("mean_r", "mean_g", "mean_b", "std_r", "std_g", "std_b", "brightness"), on_grey("r02_noise_residual"): {"mean": "noise_mean", "std": "noise_std", "energy": "noise_energy"}, on_grey("r03_spectrum"): SAME("fft_high", "fft_low", "fft_ratio"),
     on_grey("r04_sensor_noise"): {"mean": "prnu_mean", "std": "prnu_std", "energy": "prnu_energy", "fft_ratio": "prnu_fft_ratio"}, on_grey("r05_cooccurrence"): SAME("contrast", "energy", "homogeneity", "correlation"), on_grey("r06_gradients"): SAME("sobel_mean", "sobel_std", "gradient_density"),
-    ORACLES["r07_chroma"]: SAME("chroma_mean", "chroma_std", "chroma_p90"), ORACLES["r08_colours"]: SAME("palette_entropy", "dominant_r", "dominant_g", "dominant_b", "hue_std"),
+    on_grey(sql(PEAK, "tiles", **NOISE, n="SELECT img, y, x, v-avg(v) OVER (PARTITION BY img) AS v FROM z")): {"peak": "prnu_peak"}, ORACLES["r07_chroma"]: SAME("chroma_mean", "chroma_std", "chroma_p90"), ORACLES["r08_colours"]: SAME("palette_entropy", "dominant_r", "dominant_g", "dominant_b", "hue_std"),
 }
 JOINED = " JOIN ".join(f"(SELECT img, {', '.join(f'{a} AS f_{b}' for a, b in names.items())} FROM ({q})) t{i}" + (" USING (img)" if i else "") for i, (q, names) in enumerate(JOB.items()))
 
@@ -247,11 +247,11 @@ def image_files(spark, d) -> DataFrame:
     return images.extract(files.read_images(spark, at, drop=None))
 
 
-@query("r10_feature_job", f"SELECT img, {', '.join(f'f_{n}' for n in images.NAMES if n != 'prnu_peak')} FROM {JOINED} WHERE img%17<>0")
+@query("r10_feature_job", f"SELECT img, {', '.join(f'f_{n}' for n in images.NAMES)} FROM {JOINED} WHERE img%17<>0")
 def r10(spark, d):
-    """All features of all image files that can be decoded; the autocorrelation peak, whose SQL is over grey tiles (r04_autocorrelation), is left out here."""
+    """All 33 features of all image files that can be decoded."""
     rows = image_files(spark, d).where("not failed")
-    return rows.select(F.regexp_extract("path", "([0-9]+)[.]png$", 1).cast("long").alias("img"), *[f"f_{n}" for n in images.NAMES if n != "prnu_peak"])
+    return rows.select(F.regexp_extract("path", "([0-9]+)[.]png$", 1).cast("long").alias("img"), *[f"f_{n}" for n in images.NAMES])
 
 
 @query("r10_failures", sql("SELECT count(*) AS images, count(*) FILTER (img%17=0) AS failures FROM (SELECT DISTINCT img FROM rgb)", **COLOUR))

@@ -223,3 +223,22 @@ def test_dedup_of_null_and_repeated_ids(spark):
     band = lambda s, k: s >> 16 * k & 0xFFFF
     assert not any(near(s, t) and any(band(s, k) == band(t, k) for k in range(4)) for i, (_, s) in enumerate(left) for _, t in left[:i])
     assert dedup.greedy_passes(df.limit(0)).count() == 0 and dedup.keep_first(df.limit(0)).count() == 0
+
+
+def test_features_only_weights_equal_newton(spark):
+    """Weights of the clipped, train-scaled features against a plain fit of the same optimum."""
+    from test_operators import newton
+
+    from millrace.plans import bindings
+    from millrace.plans import models as plans
+
+    data = "/root/testdata/sf0.01"
+    f = bindings.features(spark, data).toPandas().sort_values("doc_id")
+    x, train = f[bindings.FEATURES].to_numpy(), (f["doc_id"] % 5 > 1).to_numpy()
+    sd = x[train].std(0)
+    z = np.clip((x - x[train].mean(0)) / np.where(sd < 1e-8, 1.0, sd), -10, 10)[train]
+    w = newton((z - z.mean(0)) / z.std(0, ddof=1), f["label"].to_numpy()[train], 1 / train.sum())
+    got = {r["feature"]: (r["rank"], r["weight"]) for r in plans.m2_weights(spark, data).collect()}
+    names = [c.removeprefix("f_") for c in bindings.FEATURES]
+    assert np.allclose([got[n][1] for n in names], w[:-1], atol=2e-3)
+    assert sorted(names, key=lambda n: got[n][0]) == [names[i] for i in np.argsort(-np.abs([got[n][1] for n in names]))]
