@@ -166,12 +166,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = scratch.save(jaccard.classes(docs).withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t")), "classes")
     leads = rows.groupBy("root").agg(F.min("key").alias("lead"))
     judged = rows.join(leads, "root")
-    gone = judged.where("key <> lead").select("key").distinct()
-    again = scratch.save(judged.where("key = lead").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("t"))
-    keyed = docs.withColumn("key", key) if "key" not in docs.columns else docs.withColumnRenamed("key", "key ").withColumn("key", key)
-    kept = keyed.join(gone, "key", "left_anti")
+    name = "key"
+    while name in docs.columns:
+        name += "_"
+    gone = judged.where("key <> lead").select(F.col("key").alias(name)).distinct()
+    again = judged.where("key = lead").groupBy(F.col("key").alias(name)).agg(F.count("*").alias("n")).where("n > 1").select(name)
+    again = scratch.save(again, "again")
+    kept = docs.withColumn(name, F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("t"))).join(gone, name, "left_anti")
     if again.head(1):
-        kept = kept.join(again, "key", "left_anti").unionByName(kept.join(again, "key", "left_semi").dropDuplicates(["key"]))
-    kept = kept.drop("key")
-    return kept.withColumnRenamed("key ", "key") if "key " in kept.columns else kept
+        kept = kept.join(again, name, "left_anti").unionByName(kept.join(again, name, "left_semi").dropDuplicates([name]))
+    return kept.select(docs.columns)
