@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import dedup, images, palette
@@ -251,7 +251,7 @@ def image_files(spark, d) -> DataFrame:
 def r10(spark, d):
     """All 33 features of all image files that can be decoded."""
     rows = image_files(spark, d).where("not failed")
-    return rows.select(F.regexp_extract("path", "([0-9]+)[.]png$", 1).cast("long").alias("img"), *[f"f_{n}" for n in images.NAMES])
+    return rows.select(number_of().alias("img"), *[f"f_{n}" for n in images.NAMES])
 
 
 @query("r10_failures", sql("SELECT count(*) AS images, count(*) FILTER (img%17=0) AS failures FROM (SELECT DISTINCT img FROM rgb)", **COLOUR))
@@ -269,7 +269,8 @@ def c06_tiles(spark, d):
     return R.signature(tiles(spark, d))
 
 
-IMG = F.regexp_extract("path", "([0-9]+)[.]png$", 1).cast("long")
+def number_of() -> Column:
+    return F.regexp_extract("path", "([0-9]+)[.]png$", 1).cast("long")
 
 
 @query("c06_image_signature", sql("SELECT img, CASE WHEN img%17<>0 THEN sig END AS sig FROM sg", **COLOUR, grey=B.CTE["grey"], wt=WEIGHTS, co=COEFFICIENTS.format(src="grey"), sg=SIGNED))
@@ -277,7 +278,7 @@ def c06_images(spark, d):
     """Signatures of PNG files; those cut off have none."""
     at = temporary(spark, "images")
     images.write_tiles(B.rgb_tiles(spark, d), at)
-    return images.signatures(files.read_images(spark, at, drop=None)).select(IMG.alias("img"), "sig")
+    return images.signatures(files.read_images(spark, at, drop=None)).select(number_of().alias("img"), "sig")
 
 
 #: Copies of an image: as it is, brighter, and with fewer levels. SQL and column form.
@@ -293,7 +294,7 @@ def c06_near(spark, d):
         part = p.select((F.col("img") * 3 + k).alias("img"), "y", "x", *[change(F.col(c)).cast("int").alias(c) for c in "rgb"])
         out = part if out is None else out.unionByName(part)
     images.write_tiles(out, at, broken=None)
-    signed = cut(images.signatures(files.read_images(spark, at)).select(IMG.alias("doc_id"), "sig"))
+    signed = cut(images.signatures(files.read_images(spark, at)).select(number_of().alias("doc_id"), "sig"))
     return dedup.keep_first(signed).select(F.col("doc_id").alias("img"), "sig", "kept")
 
 
