@@ -119,8 +119,10 @@ def near_words(scratch: Scratch, words: DataFrame, shortest: int = SHORTEST) ->
     """(word, n, other, other_n) for each ordered pair of near words of `words` (word, n)."""
     all_of = scratch.save(entries(scratch, words, shortest), "entries")
     points = all_of.agg(F.sum(F.length("word") + 1)).first()[0] or 0
-    sharded = all_of.select("word", "n", "m", "low", "high", F.pmod("key", F.lit(max(1, -(-points // SHARD)))).alias("shard"))
-    pairs = sharded.groupBy("shard").applyInArrow(near_in_shard, "word string, n long, other string, other_n long")
+    shards = max(1, -(-points // SHARD))
+    sharded = all_of.select("word", "n", "m", "low", "high", F.pmod("key", F.lit(shards)).alias("shard"))
+    # As many partitions as shards: few bytes each, but much work.
+    pairs = sharded.repartition(shards, "shard").groupBy("shard").applyInArrow(near_in_shard, "word string, n long, other string, other_n long")
     return pairs.dropDuplicates(["word", "other"])
 
 
