@@ -155,8 +155,8 @@ def test_links_see_the_middle_of_texts(spark):
     words = [f"w{k}" for k in range(5000)]
     passage = " ".join(rng.choices(words, k=60))
     texts = [f"{' '.join(rng.choices(words, k=120))} {passage} {' '.join(rng.choices(words, k=120))}" for _ in range(40)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None), (98, "four words are few")], "doc_id long, t string")
-    keys = {r["doc_id"]: set(r["k"] or ()) for r in df.select("doc_id", sharding.link_keys(F.coalesce("t", F.lit(""))).alias("k")).collect()}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None), (98, "four words are few")], "doc_id long, text string")
+    keys = {r["doc_id"]: set(r["keys"]) for r in sharding.described(df).collect()}
     assert keys[99] == keys[98] == set()
     assert sum(bool(keys[i] & keys[j]) for i in range(40) for j in range(i)) >= 0.9 * 780
 
