@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.operators import dedup, history, images, models, raster, running, scores, splits
 from millrace.plans import models as model_plans
 from millrace.sources import files
+from millrace.sources.scratch import cut
 
 DATA = "/root/testdata/sf0.001"
 
@@ -273,3 +274,11 @@ def test_models_run(spark):
     assert models.projection(df.limit(1)).first()["x1"] == 0.0
     assert models.projection(df).count() == 200
     assert model_plans.m1_standardized_lr(spark, DATA).count() == 1
+
+
+def test_signature_keys_stay_off_the_driver(spark):
+    """20,000 signatures are few bytes for Spark's estimate, their 700,000 keys are not: no plan broadcasts them."""
+    sigs = cut(spark.range(20_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("sig")))
+    near = dedup.near_signatures(sigs)
+    near.collect()
+    assert "BroadcastExchange" not in near._jdf.queryExecution().executedPlan().toString()
