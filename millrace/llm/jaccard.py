@@ -41,8 +41,8 @@ COMMON_BIT = np.int64(1 << 62)
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted distinct 62-bit hashes of the five-word shingles of the case-folded text; one of all words where there are fewer, none for no words."""
+def shingles(text: bytes | None) -> np.ndarray:
+    """62-bit hashes of the five-word shingles of the case-folded text, in its order; one of all words where there are fewer, none for no words."""
     words = (text or b"").decode("utf-8", "replace").casefold().split()
     if not words:
         return np.empty(0, dtype=np.int64)
@@ -55,7 +55,12 @@ def shingle_set(text: bytes | None) -> np.ndarray:
         h ^= h >> np.uint64(29)
     for shift, by in zip((30, 27), MIX, strict=True):
         h = (h ^ h >> np.uint64(shift)) * by
-    return np.unique(((h ^ h >> np.uint64(31)) >> np.uint64(2)).view(np.int64))
+    return ((h ^ h >> np.uint64(31)) >> np.uint64(2)).view(np.int64)
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """`shingles` sorted and distinct."""
+    return np.unique(shingles(text))
 
 
 def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import Scratch, bucket, map_texts, salted_rank
-from millrace.llm.jaccard import shingle_set
+from millrace.llm.jaccard import shingles
 
 ROUNDS = 4
 SHINGLE = 5
-#: One in so many word shingles is a key, whichever its document: texts that share 50 words share a key with probability 0.95.
-SAMPLED = 16
+#: Texts that share so many words in a row share a key.
+PASSAGE = 50
 #: Rows a bucket, where groups are ranked or summed in buckets.
 ROWS = 200_000
 
@@ -32,12 +32,26 @@ def prefix_sum(df: DataFrame, group: list[str], unit: str, weight: str, name: st
     return d.withColumn("_i", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(offsets, keys).withColumn(name, F.col("_o") + F.col("_i")).drop("_b", "_i", "_o")
 
 
+def least_of(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` values in a row; of all, where there are fewer."""
+    width, have = min(width, len(h)), 1
+    while have < width:
+        step = min(have, width - have)
+        h = np.minimum(h[:-step], h[step:])
+        have += step
+    return h
+
+
 def link_keys(text: bytes) -> list[int]:
-    """Hashes of the text's sampled five-word shingles and of the four of smallest hash; none for fewer words."""
+    """Hashes of five-word shingles: the least in each passage of 50 words, and the text's four least; none for fewer words.
+
+    The same passage has the same least shingle in every text, so texts that share one always share a key; a text
+    has about one key in 24 words, as passages side by side mostly have one least shingle.
+    """
     if len(text.split(None, SHINGLE - 1)) < SHINGLE:
         return []
-    s = shingle_set(text)
-    return np.union1d(s[s % SAMPLED == 0], s[:4]).tolist()
+    h = shingles(text)
+    return np.union1d(least_of(h, PASSAGE - SHINGLE + 1), np.unique(h)[:4]).tolist()
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -93,7 +107,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS) -> DataFrame:
 
     Returns doc_id, size, text_crc32, law ("rows"), shard, slot (0, 1, ... in each shard) and grown_shard
     (null: only the key law has it). A null text counts as empty. Equal texts are one unit and move
-    together; units that share a sampled five-word shingle of their whole texts are neighbours (`link_keys`). After label propagation, units
+    together; units that share 50 words in a row anywhere, or one of their four least five-word shingles, are neighbours (`link_keys`). After label propagation, units
     that fit their shard stay; the rest, texts with more copies than a shard holds, and texts without
     neighbours are laid out in one line, copies side by side, and cut at the shards' free places. So equal
     texts are split only where a count forces it. Repeated rows and null ids are placed like any row;
