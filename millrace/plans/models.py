@@ -24,14 +24,14 @@ def query(f):
 
 
 def stratified(spark, d) -> DataFrame:
-    f = B.features(spark, d)
+    f = cut(B.features(spark, d))
     sizes = f.groupBy("label").agg(F.count("*").alias("n"))
     return hash_rank(f, ["label"], "uid", 7).join(F.broadcast(sizes), "label").withColumn("train", F.col("rank") < F.expr("n * 80 div 100")).drop("rank", "n")
 
 
 @query
 def m1_standardized_lr(spark, d):
-    rows = stratified(spark, d)
+    rows = cut(stratified(spark, d))
     scaler, model = M.baseline(rows.where("train"), FEATURES)
     p = M.scored(rows.where("not train"), FEATURES, scaler, model).select(F.lit("lr").alias("tag"), F.col("label").alias("y"), "p")
     top = ",".join(c for c, _ in M.weights(model, FEATURES)[:3])
@@ -41,8 +41,8 @@ def m1_standardized_lr(spark, d):
 def features_only(spark, d):
     """Features clipped to ten deviations of the training rows, by split, and the model fitted on these."""
     part = F.when(F.col("doc_id") % 5 == 0, "val").when(F.col("doc_id") % 5 == 1, "logo").otherwise("train")
-    f = B.features(spark, d).withColumn("split", part)
-    z = X.standardized(f, X.fit_scaler(f.where("split = 'train'"), FEATURES, 1e-8), FEATURES, 10.0)
+    f = cut(B.features(spark, d).withColumn("split", part))
+    z = cut(X.standardized(f, X.fit_scaler(f.where("split = 'train'"), FEATURES, 1e-8), FEATURES, 10.0))
     return z, *M.baseline(z.where("split = 'train'"), FEATURES)
 
 
@@ -77,9 +77,9 @@ def m3_linear_probe(spark, d):
 @query
 def m4_three_heads(spark, d):
     """Ranking of three heads, the perceptrons 384 wide, and what the features add to the control."""
-    f = B.features(spark, d)
+    f = cut(B.features(spark, d))
     z = X.standardized(f, X.fit_scaler(f, FEATURES), FEATURES).select(F.col("doc_id").alias("id"), F.array(*FEATURES).alias("f"))
-    e = embedded(spark, d).join(z, "id")
+    e = cut(embedded(spark, d).join(z, "id"))
     stop = (F.col("id") % 5 == 1) & ~F.col("held")
     p = cut(M.heads(e.where(~F.col("held") & ~stop), e.where(stop), e.where("held"), 64, len(FEATURES), 384).withColumnRenamed("head", "tag"))
     r = S.ranking(p, ["tag"]).join(p.groupBy("tag").agg(F.max("best_round").alias("best_round")), "tag")
