@@ -9,6 +9,8 @@ Two sets pair up in a key only if its places in both leave enough shingles for t
 long passage and are not similar have more shingles of their own than that, and these come first; so they
 don't meet in the passage's keys at all.
 
+Links that a search by fingerprint finds are compared exactly first; what they join is compared no more.
+
 Copies of one text in many variants would still make a pair for each two of them. So in keys of more than PAIRED nodes two things hold
 pairs off. Each node carries a bitmap of its set's parities; bitmaps differ in no more bits than the sets do in shingles, so a pair whose bitmaps
 differ in too many is no pair. And first, a few times over, a node looks at some 32 others of its largest key, drawn by hash, and is
@@ -18,7 +20,7 @@ compared no more. So each pair that could join two components is compared, whate
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Scratch, components, map_texts
+from millrace.llm.common import Scratch, components, majority, map_texts, signed
 
 SHINGLE = 5
 #: Similarity as a fraction: PART / WHOLE.
@@ -100,21 +102,25 @@ def row_key() -> Column:
 
 
 def sets(docs: DataFrame, held: Broadcast) -> DataFrame:
-    """(doc_id, t, node, n, keys, bits): the text's hash, its shingle set's hash and size, the set's prefix (`held`: the common shingles) and its parities."""
+    """(doc_id, t, node, n, keys, bits, fp): the text's hash, its shingle set's hash and size, the set's prefix (`held`: the common shingles), its parities and its fingerprint."""
 
     def rows(part: Iterator[tuple]) -> Iterator[tuple]:
         last = held.value
         for doc_id, t, text in part:
             s = shingle_set(text)
-            yield doc_id, t, node_of(s), len(s), prefix(s, last).tolist(), parities(s).tolist()
+            yield doc_id, t, node_of(s), len(s), prefix(s, last).tolist(), parities(s).tolist(), fingerprint(s)
 
-    schema = "doc_id long, t long, node long, n int, keys array<long>, bits array<long>"
+    schema = "doc_id long, t long, node long, n int, keys array<long>, bits array<long>, fp long"
     return map_texts(docs.select("doc_id", F.xxhash64("text").alias("t"), "text"), ["doc_id", "t"], rows, T._parse_datatype_string(schema))
 
 
 def node_of(shingles: np.ndarray) -> int:
-    x = xxhash.xxh64_intdigest(shingles.tobytes(), 42)
-    return x - (1 << 64) if x >> 63 else x
+    return signed(xxhash.xxh64_intdigest(shingles.tobytes(), 42))
+
+
+def fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of a set, as a long: the bit majority of its shingles, spread from 62 bits to 64; 0 for none."""
+    return signed(majority(shingles.view(np.uint64) * MULTIPLY))
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -210,37 +216,45 @@ def asked(hot: DataFrame, round_no: int) -> DataFrame:
     return best.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
 
 
-def links(scratch: Scratch, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes (node, n, keys, bits, lead) whose closure is that of all pairs of the similarity."""
-    met = scratch.save(met_keys(nodes).withColumn("c", F.col("node")), "met")
+def placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (node, ..., c) with c the node's root, where it has one, else the node."""
+    return rows.drop("c").join(roots, rows.node == roots.node, "left").select(*[rows[c] for c in rows.columns if c != "c"], F.coalesce("root", rows.node).alias("c"))
+
+
+def links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes (node, n, keys, bits, lead) whose closure is that of all pairs of the similarity. Pairs `near` are compared first."""
+    found = similar(scratch, docs, nodes, near, "near")
+    roots = scratch.save(components(Scratch(docs.sparkSession, "jaccard-near"), found), "roots-near")
+    met = scratch.save(placed(met_keys(nodes).withColumn("c", F.col("node")), roots), "met")
     few, many = met.where(F.col("m") <= PAIRED), met.where(F.col("m") > PAIRED)
-    found = None
-    if many.head(1):
+    hot = bool(many.head(1))
+    if hot:
         many = scratch.save(many.join(nodes.select("node", "bits"), "node"), "many")
         for k in range(ROUNDS):
             fresh = similar(scratch, docs, nodes, asked(many, k), str(k))
-            found = fresh if found is None else found.union(fresh)
+            found = found.union(fresh)
             roots = scratch.save(components(Scratch(docs.sparkSession, f"jaccard-{k}"), found), f"roots-{k}")
-            placed = lambda df: df.drop("c").join(roots, df.node == roots.node, "left").select(*[df[c] for c in df.columns if c != "c"], F.coalesce("root", df.node).alias("c"))  # noqa: B023, E731
-            many = scratch.save(placed(many), f"many-{k}")
-        few = placed(few)
+            many = scratch.save(placed(many, roots), f"many-{k}")
+        few = placed(few, roots)
     pairs = meeting(few, few)
-    if found is not None:
+    if hot:
         # Of a large key, what lies in its largest component is compared with the rest only.
         largest = many.groupBy("key", "c").agg(F.count("*").alias("x")).groupBy("key").agg(F.max_by("c", F.struct("x", "c")).alias("main"))
         many = many.join(largest, "key")
         rest, main = many.where("c <> main"), many.where("c = main")
         pairs = pairs.union(meeting(rest, rest, True)).union(meeting(rest, main, True)).union(meeting(main, rest, True))
-    last = similar(scratch, docs, nodes, pairs.distinct(), "rest")
-    return last if found is None else found.union(last)
+    return found.union(similar(scratch, docs, nodes, pairs.distinct(), "rest"))
+
 
+def classes(docs: DataFrame, close: Callable[[Scratch, DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, t, root) of every row of docs (doc_id, text): t is the text's xxhash64, root names the component.
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, root) of every row of docs (doc_id, text): t is the text's xxhash64, root names the component."""
+    close gives pairs (a, b) of nodes (node, n, fp) that a search by fingerprint finds; they are compared first.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard")
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
     rows = scratch.save(sets(docs, held).withColumn("lead", row_key()), "sets")
     held.destroy()
-    nodes = scratch.save(rows.groupBy("node").agg(F.min("lead").alias("lead"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits")), "nodes")
-    roots = scratch.save(components(scratch, links(scratch, docs, nodes)), "roots")
+    nodes = scratch.save(rows.groupBy("node").agg(F.min("lead").alias("lead"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"), F.any_value("fp").alias("fp")), "nodes")
+    roots = scratch.save(components(scratch, links(scratch, docs, nodes, close(Scratch(docs.sparkSession, "close"), nodes))), "roots")
     return rows.select("doc_id", "t", "node").join(roots, "node", "left").select("doc_id", "t", F.coalesce("root", "node").alias("root"))

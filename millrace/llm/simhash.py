@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import jaccard
-from millrace.llm.common import Scratch, components, map_texts
+from millrace.llm.common import Scratch, components, majority, map_texts, signed
 
 GENERATOR = 0b110001110101
 PAIRED = 64
@@ -39,15 +39,7 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
         return 0
     hash64, join = xxhash.xxh64_intdigest, b" ".join
     grams = [hash64(join(g), seed) for g in zip(*(words[k:] for k in range(shingle)), strict=False)] if len(words) >= shingle else [hash64(join(words), seed)]
-    h = np.array(grams, dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
-
-
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    return majority(np.array(grams, dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -153,17 +145,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def close(scratch: Scratch, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes (node, n, fp) that the Golay search finds within two bits: each node with the least of its fingerprint, and those of two fingerprints."""
+    prints = scratch.save(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    same = nodes.where("n > 0").join(prints, "fp").select("node", "least").where("node <> least")
+    least = lambda s: prints.select(F.col("fp").alias(s), F.col("least").alias(f"least_{s}"))
+    near = links(scratch, prints).distinct().join(least("a"), "a").join(least("b"), "b").select("least_a", "least_b")
+    both = same.union(near).toDF("x", "y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs for each component of near duplicates, with all its columns: that of the smallest doc_id.
 
-    Texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more (`jaccard`);
-    fingerprints within two bits miss most such pairs, and link others. Texts without words are one group.
+    Texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. The pairs that the
+    Golay search finds (`close`, over fingerprints of these sets) are compared exactly and come first; as fingerprints within
+    two bits miss many similar pairs and hold some that are not, `jaccard` completes the links. Texts without words are one group.
     Of several rows with that id the one whose text's hash is smallest stays, and of equal ones any; null
     ids come last. Rows to drop are found by id and text hash, so texts move only if the list of dropped
     rows is too large for Spark to broadcast.
     """
     scratch = Scratch(docs.sparkSession, "keep-first")
-    rows = scratch.save(jaccard.classes(docs).withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t")), "classes")
+    rows = scratch.save(jaccard.classes(docs, close).withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t")), "classes")
     leads = rows.groupBy("root").agg(F.min("key").alias("lead"))
     judged = rows.join(leads, "root")
     name = "key"

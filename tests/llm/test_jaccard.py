@@ -72,3 +72,34 @@ def test_rows_grow_with_texts_that_share_a_passage(spark, monkeypatch):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
         assert simhash.keep_first(df).count() == n
         assert sum(made) < 2 * n
+
+
+def test_fingerprint_search_comes_first(spark, monkeypatch):
+    """Sets within two bits are found by Golay keys and compared; what they link is not paired again, and the rest is completed."""
+    made, whole = {}, jaccard.similar
+
+    def noted(scratch, docs, nodes, pairs, name):
+        made[name] = {(r["a"], r["b"]) for r in pairs.collect()}
+        return whole(scratch, docs, nodes, pairs, name)
+
+    monkeypatch.setattr(jaccard, "similar", noted)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    rows = []
+    for _ in range(40):
+        base = rng.choices(words, k=600)
+        for changed in (0, 1, 2, 20):
+            w = list(base)
+            for at in rng.sample(range(600), changed):
+                w[at] = "changed"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(df).collect()) == brute(rows)
+    sets = [jaccard.shingle_set(t.encode()) for _, t in rows]
+    prints = {jaccard.node_of(s): jaccard.fingerprint(s) for s in sets}
+    nodes = sorted(prints)
+    least = {prints[a]: a for a in reversed(nodes)}
+    near = {(least[prints[a]], a) for a in nodes if least[prints[a]] != a}
+    near |= {(min(a, b), max(a, b)) for f, a in least.items() for g, b in least.items() if f < g and bin((f ^ g) & ((1 << 64) - 1)).count("1") <= 2}
+    assert made["near"] == near and len(near) > 20
+    assert made["rest"] and not made["rest"] & near
