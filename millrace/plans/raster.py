@@ -286,14 +286,17 @@ COPIES = {"{c}": lambda c: c, "least(255,{c}+12)": lambda c: F.least(F.lit(255),
 COPIED = " UNION ALL ".join(f"SELECT img*3+{k} AS img, y, x, {', '.join(e.format(c=c) + ' AS ' + c for c in 'rgb')} FROM rgb" for k, e in enumerate(COPIES))
 
 
+def copied(pixels: DataFrame) -> DataFrame:
+    """Every image of pixels (img, y, x, r, g, b) in all its COPIES, from one pass over them."""
+    forms = [F.struct((F.col("img") * 3 + k).alias("img"), "y", "x", *[change(F.col(c)).cast("int").alias(c) for c in "rgb"]) for k, change in enumerate(COPIES.values())]
+    return pixels.select(F.explode(F.array(*forms)).alias("p")).select("p.*")
+
+
 @query("c06_near_images", sql("SELECT b.img, b.sig, NOT EXISTS (SELECT 1 FROM sg a WHERE a.img<b.img AND bit_count(xor(a.sig,b.sig))<=4) AS kept FROM sg b", **COLOUR, cp=COPIED, gr=B.CTE["grey"].replace("FROM rgb", "FROM cp"), wt=WEIGHTS, co=COEFFICIENTS.format(src="gr"), sg=SIGNED))
 def c06_near(spark, d):
     """Near-duplicate images among PNG files of all colour tiles and two copies of each: the first of those within four bits stays."""
-    at, p, out = temporary(spark, "copies"), B.rgb_tiles(spark, d), None
-    for k, change in enumerate(COPIES.values()):
-        part = p.select((F.col("img") * 3 + k).alias("img"), "y", "x", *[change(F.col(c)).cast("int").alias(c) for c in "rgb"])
-        out = part if out is None else out.unionByName(part)
-    images.write_tiles(out, at, broken=None)
+    at = temporary(spark, "copies")
+    images.write_tiles(copied(B.rgb_tiles(spark, d)), at, broken=None)
     signed = cut(images.signatures(files.read_images(spark, at)).select(number_of().alias("doc_id"), "sig"))
     return dedup.keep_first(signed).select(F.col("doc_id").alias("img"), "sig", "kept")
 

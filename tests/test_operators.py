@@ -282,3 +282,13 @@ def test_signature_keys_stay_off_the_driver(spark):
     near = dedup.near_signatures(sigs)
     near.collect()
     assert "BroadcastExchange" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_images_take_one_pass(spark, tmp_path):
+    """Three forms of each pixel, and the pixels are read once."""
+    from millrace.plans import raster
+
+    spark.createDataFrame([(2, 0, 0, 10, 250, 33)], "img long, y int, x int, r int, g int, b int").write.parquet(str(tmp_path / "p"))
+    made = raster.copied(spark.read.parquet(str(tmp_path / "p")))
+    assert sorted(map(tuple, made.collect())) == [(6, 0, 0, 10, 250, 33), (7, 0, 0, 22, 255, 45), (8, 0, 0, 8, 248, 40)]
+    assert made._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
