@@ -13,8 +13,8 @@ Links that a search by fingerprint finds are compared exactly first; what they j
 
 Copies of one text in many variants would still make a pair for each two of them. So in keys of more than PAIRED nodes two things hold
 pairs off. Each node carries a bitmap of its set's parities; bitmaps differ in no more bits than the sets do in shingles, so a pair whose bitmaps
-differ in too many is no pair. And first, a few times over, a node looks at some 32 others of its largest key, drawn by hash, and is
-compared with the one of nearest bitmap. Components are worked out; then nodes of one component are
+differ in too many is no pair. And first, a few times over, the first time along with the links by fingerprint, a node looks at some 32 others
+of its largest key, drawn by hash, and is compared with the one of nearest bitmap. Components are worked out; then nodes of one component are
 compared no more. So each pair that could join two components is compared, whatever the size of a key.
 """
 
@@ -221,29 +221,38 @@ def placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.drop("c").join(roots, rows.node == roots.node, "left").select(*[rows[c] for c in rows.columns if c != "c"], F.coalesce("root", rows.node).alias("c"))
 
 
+def stars(roots: DataFrame) -> DataFrame:
+    """roots (node, root) as links (a, b)."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes (node, n, keys, bits, lead) whose closure is that of all pairs of the similarity. Pairs `near` are compared first."""
-    found = similar(scratch, docs, nodes, near, "near")
-    roots = scratch.save(components(Scratch(docs.sparkSession, "jaccard-near"), found), "roots-near")
-    met = scratch.save(placed(met_keys(nodes).withColumn("c", F.col("node")), roots), "met")
+    """Links (a, b) between nodes (node, n, keys, bits, lead) whose closure is that of all pairs of the similarity. Pairs `near` are compared first.
+
+    Every pass over pairs and components costs the driver some sixty jobs, so the first round of asking goes
+    along with `near`, and later components start from the stars of those before. Rows of keys get their components in tables of their own, once each.
+    """
+    met = scratch.save(met_keys(nodes).withColumn("c", F.col("node")), "met")
     few, many = met.where(F.col("m") <= PAIRED), met.where(F.col("m") > PAIRED)
     hot = bool(many.head(1))
     if hot:
         many = scratch.save(many.join(nodes.select("node", "bits"), "node"), "many")
-        for k in range(ROUNDS):
-            fresh = similar(scratch, docs, nodes, asked(many, k), str(k))
-            found = found.union(fresh)
-            roots = scratch.save(components(Scratch(docs.sparkSession, f"jaccard-{k}"), found), f"roots-{k}")
-            many = scratch.save(placed(many, roots), f"many-{k}")
-        few = placed(few, roots)
+        near = near.union(asked(many, 0)).distinct()
+    roots = scratch.save(components(Scratch(docs.sparkSession, "jaccard-near"), similar(scratch, docs, nodes, near, "near")), "roots-near")
+    for k in range(1, ROUNDS if hot else 0):
+        many = scratch.save(placed(many, roots), f"many-{k}")
+        fresh = similar(scratch, docs, nodes, asked(many, k), str(k))
+        roots = scratch.save(components(Scratch(docs.sparkSession, f"jaccard-{k}"), stars(roots).union(fresh)), f"roots-{k}")
+    few = scratch.save(placed(few, roots), "few")
     pairs = meeting(few, few)
     if hot:
+        many = scratch.save(placed(many, roots), "many-rest")
         # Of a large key, what lies in its largest component is compared with the rest only.
         largest = many.groupBy("key", "c").agg(F.count("*").alias("x")).groupBy("key").agg(F.max_by("c", F.struct("x", "c")).alias("main"))
         many = many.join(largest, "key")
         rest, main = many.where("c <> main"), many.where("c = main")
-        pairs = pairs.union(meeting(rest, rest, True)).union(meeting(rest, main, True)).union(meeting(main, rest, True))
-    return found.union(similar(scratch, docs, nodes, pairs.distinct(), "rest"))
+        pairs = pairs.union(meeting(rest, many, True)).union(meeting(main, rest, True))
+    return stars(roots).union(similar(scratch, docs, nodes, pairs.distinct(), "rest"))
 
 
 def classes(docs: DataFrame, close: Callable[[Scratch, DataFrame], DataFrame]) -> DataFrame:

@@ -103,3 +103,25 @@ def test_fingerprint_search_comes_first(spark, monkeypatch):
     near |= {(min(a, b), max(a, b)) for f, a in least.items() for g, b in least.items() if f < g and bin((f ^ g) & ((1 << 64) - 1)).count("1") <= 2}
     assert made["near"] == near and len(near) > 20
     assert made["rest"] and not made["rest"] & near
+
+
+def test_large_keys_place_rows_once(spark, monkeypatch):
+    """With keys above PAIRED: rows of keys get components in saved tables, so no plan of pairs works them out again for each side, and passes stay few."""
+    plans, closed, whole, joined = {}, [], jaccard.similar, jaccard.components
+
+    def noted(scratch, docs, nodes, pairs, name):
+        plans[name] = pairs._jdf.queryExecution().optimizedPlan().toString()
+        return whole(scratch, docs, nodes, pairs, name)
+
+    def counted(scratch, links):
+        closed.append(1)
+        return joined(scratch, links)
+
+    monkeypatch.setattr(jaccard, "PAIRED", 2)
+    monkeypatch.setattr(jaccard, "similar", noted)
+    monkeypatch.setattr(jaccard, "components", counted)
+    rows = near_copies(random.Random(5), 20, 9)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(df).collect()) == brute(rows)
+    assert list(plans) == ["near", "1", "rest"] and len(closed) == 3
+    assert not any("LeftOuter" in p for p in plans.values())
